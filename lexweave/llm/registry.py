@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, minhash
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op6_bpe": bpe.op6_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash": minhash.SQL,
+}
