@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash
+from . import bpe, minhash, substring
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op10_substring": substring.op10_substring,
     "op6_bpe": bpe.op6_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.SQL,
+    "op10_substring": substring.SQL,
 }
