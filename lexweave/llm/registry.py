@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, substring
+from . import bpe, minhash, mixing, substring, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op10_substring": substring.op10_substring,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op6_bpe": bpe.op6_bpe,
 }
