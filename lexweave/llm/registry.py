@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, minhash, mixing, substring, toxicity
+from . import bpe, fingerprint, langid, minhash, mixing, substring, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op10_substring": substring.op10_substring,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
+    "op2_langid": langid.op2_langid,
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op6_bpe": bpe.op6_bpe,
 }
