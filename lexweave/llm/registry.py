@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, minhash, mixing, substring, toxicity
+from . import bpe, fingerprint, html, langid, minhash, mixing, substring, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op2_langid": langid.op2_langid,
+    "op3_html": html.op3_html,
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op6_bpe": bpe.op6_bpe,
 }
