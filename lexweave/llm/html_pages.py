@@ -31,6 +31,7 @@ TAGS = {"article": ["article", "main", "div", "section"], "nav": ["nav", "div",
 class Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.noise: list[str] = []
         self.syllables = ["".join(self.r.choice("bcdfghklmnprstvz") + self.r.choice("aeiouéäó") for _ in range(1)) + self.r.choice(["", "n", "r", "s", "t"]) for _ in range(60)]
 
     def word(self) -> str:
@@ -38,13 +39,13 @@ class Writer:
 
     def sentence(self, low: int, high: int) -> str:
         words = [self.word() for _ in range(self.r.randint(low, high))]
-        if self.r.random() < 0.05:
-            words = [w + self.r.choice(["%%%", "$$$", "!!", " |", "***"]) for w in words]
+        if self.noise:
+            words = [(w.upper() if self.noise[0] == "!!" else w) + self.r.choice(self.noise) for w in words]
         return " ".join(words).capitalize() + self.r.choice([".", ".", ".", "!", "?", ""])
 
     def text(self, long: bool) -> str:
         n = self.r.choice([1, 1, 2, 3, 5, 8]) if long else 1
-        return " ".join(self.sentence(*((1, 3) if self.r.random() < 0.15 else (4, 18)) if long else (1, 9)) for _ in range(n))
+        return " ".join(self.sentence(*((1, 3) if self.r.random() < 0.25 else (4, 18)) if long else (1, 9)) for _ in range(n))
 
     def open(self, kind: str, bare: bool) -> tuple[str, str]:
         tag = self.r.choice(TAGS[kind])
@@ -85,6 +86,8 @@ class Writer:
     def page(self) -> tuple[str, list[tuple[str, int]]]:
         """HTML and its blocks' (text as written, label)."""
         r = self.r
+        # some pages carry signs on every word
+        self.noise = r.choice([["!!"], ["%%%", "$$$", "***", "###", "&amp;&amp;&amp;"], [" |"], ["", "", "!!"]]) if r.random() < 0.15 else []
         parts: list = []
         for kind in ("notice", "header", "nav", "ad", "form", "aside"):
             if r.random() < (0.75 if kind in ("header", "nav") else 0.4):
