@@ -119,17 +119,17 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = True) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Token ids of every text, and what they decode to.
 
-    Returns ``id_col``, ``n_tokens``, with ``ids`` also ``ids array<int>`` and
+    Returns ``id_col``, the ``keep`` columns, ``n_tokens``, with ``ids`` also ``ids array<int>`` and
     ``decoded binary``, with ``digests`` also ``ids_sha256`` and ``decoded_sha256``.
     The rank file is opened on the executors, as an installed file of each.
     """
-    given = default_vocabulary()
-    path, pattern = path or given[0], pattern or given[1]
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long" + ", ids array<int>, decoded binary" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    known = default_vocabulary()
+    path, pattern = path or known[0], pattern or known[1]
+    given = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in given) + ", n_tokens long" + ", ids array<int>, decoded binary" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -138,7 +138,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for start in range(0, big.num_rows, 256):
                 batch = big.slice(start, 256)
                 counts, lists, raws, sums, raw_sums = [], [], [], [], []
-                for text in batch.column(1):
+                for text in batch.column(len(given)):
                     got = c.encode(text.as_py())
                     raw = c.decode(got)
                     counts.append(len(got))
@@ -148,8 +148,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     if digests:
                         sums.append(hashlib.sha256(",".join(map(names.__getitem__, got)).encode()).hexdigest())
                         raw_sums.append(hashlib.sha256(raw).hexdigest())
-                out = [batch.column(0), pa.array(counts, pa.int64())]
-                fields = [id_col, "n_tokens"]
+                out = [*batch.columns[: len(given)], pa.array(counts, pa.int64())]
+                fields = [*given, "n_tokens"]
                 if ids:
                     out += [pa.array(lists, pa.list_(pa.int32())), pa.array(raws, pa.binary())]
                     fields += ["ids", "decoded"]
@@ -158,7 +158,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     fields += ["ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(out, names=fields)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(*given, text_col).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
