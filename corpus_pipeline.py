@@ -1,5 +1,76 @@
-"""Corpus pipeline (being laid down)."""
-STAGES = []
+"""Corpus pipeline: five stages from raw documents to token ids.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``.  A runner writes a stage's
+result as Parquet and rereads it as the next one's ``docs``; ``run`` does so in the
+shared folder of the session.  All stages but the last return the columns of
+``documents``.  What a stage does with nulls, empty texts, ties and repeated rows
+is what its operator says; no stage looks at other columns than it names.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexweave.llm import bpe, minhash, mixing, substring, toxicity
+from lexweave.llm.common import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on them and the labels, doesn't predict toxic."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"), may_learn=toxicity.learnable())
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the least id; of rows that repeat an id the least.
+
+    Shingles of five words, similarity 0.8 or more.  Rows without an id stay.
+    """
+    found = minhash.near_duplicates(docs, words=5)
+    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
+    held = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
+    held = held.withColumn("lexweave_n", F.row_number().over(order)).where("lexweave_n = 1").drop("lexweave_n")
+    return held.unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 35 words or more that also stand elsewhere; others unchanged."""
+    out = substring.remove(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to the sources' target weights takes it."""
+    return mixing.resample(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of what they decode to."""
+    out = bpe.encode(docs, keep=("lang", "source"))
+    return out.drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The classifier and the draws of the mix have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and reread in the shared folder."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexweave-checkpoints").rstrip("/")
+    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
