@@ -7,9 +7,9 @@
 3. Classes that share a band key are candidates.  Each is compared with the
    least member of its bucket; links confirmed on full sets give components.
 4. Buckets whose members still lie in several components are compared in
-   blocks, only across components, by signature; what remains is confirmed on
-   full sets.  So every candidate pair that could join two components is
-   judged, while a bucket of n copies costs n comparisons.
+   blocks, only across components, by signature and then on full sets.  So every
+   candidate pair that could join two components is judged, none is emitted, and
+   a bucket of n linked copies costs n comparisons.
 
 With 32 bands of 6 minima a pair of similarity 0.8 is missed with probability
 6e-5, one of 0.85 with 3e-7.  Nothing is capped.
@@ -139,11 +139,18 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def across(members: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """Candidate pairs of different components within buckets, block against block."""
-    per = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"), F.count("*").alias("n"))
-    split = per.where("low != high")
-    rows = members.join(split.select("key", "main"), "key")
+def across(members: DataFrame, sets: DataFrame, percent: int, rows_per_band: int, id_type: str) -> DataFrame:
+    """Confirmed links (a, b) between components of one bucket, enough of them to join what is linked.
+
+    ``members`` has (key, band, id, component, size, sig).  The members outside
+    the pivot's component meet each other and those inside, block against block.
+    First by signature: a pair counts in the first band that it shares, so in one
+    bucket only, and each block passes on the members that have a near partner,
+    never the pairs.  Then their full sets are compared, as a product of incidence
+    matrices, and a block passes on links that join components, fewer than members.
+    """
+    per = members.groupBy("key").agg(F.min_by("component", "id").alias("main"))
+    rows = members.join(per, "key")
     minor = F.col("component") != F.col("main")
     sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.when(minor, 1).otherwise(0)) / BLOCK).cast("int").alias("km"), F.ceil(F.sum(F.when(minor, 0).otherwise(1)) / BLOCK).cast("int").alias("ka"))
     rows = rows.join(sizes, "key")
@@ -151,39 +158,81 @@ def across(members: DataFrame, percent: int, id_type: str) -> DataFrame:
     at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     to = lambda n: F.sequence(F.lit(0), n - 1)
     tasks = F.when(minor, F.concat(F.transform(to(F.col("ka")), lambda j: at("a", F.col("s"), j)), F.transform(to(F.col("km")), lambda j: at("m", F.least(F.col("s"), j), F.greatest(F.col("s"), j))))).otherwise(F.transform(to(F.col("km")), lambda i: at("a", i, F.col("s"))))
-    dealt = rows.withColumn("s", s).withColumn("minor", minor).withColumn("task", F.explode(tasks)).select("key", "task.kind", "task.i", "task.j", "id", "component", "size", "sig", "minor", "s")
+    dealt = rows.withColumn("s", s).withColumn("minor", minor).withColumn("task", F.explode(tasks)).select("key", "band", "task.kind", "task.i", "task.j", "id", "component", "size", "sig", "minor", "s")
 
-    def compare(group: pa.Table) -> pa.Table:
-        kind, i = group["kind"][0].as_py(), group["i"][0].as_py()
-        same = kind == "m" and i == group["j"][0].as_py()
-        ids = group["id"].combine_chunks()
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        size = group["size"].to_numpy()
-        _, comp = np.unique(group["component"].to_numpy(zero_copy_only=False), return_inverse=True)
+    def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        kind, i, j = (group[c][0].as_py() for c in ("kind", "i", "j"))
         if kind == "a":
             left = group["minor"].to_numpy(zero_copy_only=False).astype(bool)
-            right = ~left
-        else:
-            left = group["s"].to_numpy() == i
-            right = left if same else ~left
-        li, ri = np.flatnonzero(left), np.flatnonzero(right)
+            return np.flatnonzero(left), np.flatnonzero(~left)
+        left = group["s"].to_numpy() == i
+        return np.flatnonzero(left), np.flatnonzero(left if i == j else ~left)
+
+    def apart(group: pa.Table, li: np.ndarray, ri: np.ndarray) -> np.ndarray:
+        _, comp = np.unique(group["component"].to_numpy(zero_copy_only=False), return_inverse=True)
+        size = group["size"].to_numpy()
+        return (comp[li][:, None] != comp[ri][None, :]) & (100 * np.minimum.outer(size[li], size[ri]) >= percent * np.maximum.outer(size[li], size[ri]))
+
+    def screen(group: pa.Table) -> pa.Table:
+        li, ri = sides(group)
+        band = group["band"][0].as_py()
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
+        hit = np.zeros(group.num_rows, dtype=bool)
+        x, y = np.nonzero(apart(group, li, ri))
+        for q in range(0, len(x), 50_000):
+            xx, yy = li[x[q : q + 50_000]], ri[y[q : q + 50_000]]
+            same = sig[xx] == sig[yy]
+            near = same.mean(axis=1) >= percent / 100 - SLACK
+            near[near] = same[near].reshape(-1, same.shape[1] // rows_per_band, rows_per_band).all(axis=2).argmax(axis=1) == band
+            hit[xx[near]] = True
+            hit[yy[near]] = True
+        return group.filter(pa.array(hit)).select(["key", "kind", "i", "j", "id", "component", "size", "minor", "s"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        li, ri = sides(group)
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["set"].combine_chunks()]
+        doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        value, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = times[col] > 1
+        doc, col = doc[keep], col[keep]
+        common = np.zeros((len(li), len(ri)), dtype=np.float32)
+        place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
+        place_l[li], place_r[ri] = np.arange(len(li)), np.arange(len(ri))
+        order = np.argsort(col, kind="stable")
+        doc, col = doc[order], col[order]
+        for low in range(0, len(value), 4096):
+            u, v = np.searchsorted(col, (low, low + 4096))
+            if u == v:
+                continue
+            d, c = doc[u:v], col[u:v] - low
+            one, two = np.zeros((len(li), 4096), np.float32), np.zeros((len(ri), 4096), np.float32)
+            p, q = place_l[d] >= 0, place_r[d] >= 0
+            one[place_l[d[p]], c[p]] = 1
+            two[place_r[d[q]], c[q]] = 1
+            common += one @ two.T
+        size = group["size"].to_numpy()
+        both = common.astype(np.int64)
+        x, y = np.nonzero(apart(group, li, ri) & (100 * both >= percent * (size[li][:, None] + size[ri][None, :] - both)))
+        ids, comps = group["id"].combine_chunks(), group["component"].to_pylist()
+        over: dict = {}
+
+        def root(c):
+            while c in over:
+                c = over[c]
+            return c
+
         a, b = [], []
-        step = 64
-        for k in range(0, len(li), step):
-            part = li[k : k + step]
-            ok = (comp[part][:, None] != comp[ri][None, :]) & (100 * np.minimum.outer(size[part], size[ri]) >= percent * np.maximum.outer(size[part], size[ri]))
-            x, y = np.nonzero(ok)
-            for q in range(0, len(x), 100_000):
-                xx, yy = part[x[q : q + 100_000]], ri[y[q : q + 100_000]]
-                near = (sig[xx] == sig[yy]).mean(axis=1) >= percent / 100 - SLACK
-                a.append(xx[near])
-                b.append(yy[near])
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
-
-    pairs = dealt.groupBy("key", "kind", "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for i, j in zip(li[x].tolist(), ri[y].tolist(), strict=True):
+            p, q = root(comps[i]), root(comps[j])
+            if p != q:
+                over[p] = q
+                a.append(i)
+                b.append(j)
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+    kept = f"key long, kind string, i int, j int, id {id_type}, component {id_type}, size long, minor boolean, s int"
+    held = dealt.groupBy("key", "kind", "i", "j").applyInArrow(screen, kept).join(sets.select("id", "set"), "id")
+    return held.groupBy("key", "kind", "i", "j").applyInArrow(settle, f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -192,7 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = cut(signatures(df, id_col, text_col, words, bands, rows))
     some = base.where("n > 0 and id is not null")
     reps = cut(some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "bands", "sig"), "id").alias("v")).select("s1", "s2", "rep", "copies", "v.*"))
-    keys = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct()
+    keys = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
     members = cut(keys.join(buckets, "key"))
     ids = members.select("id").distinct()
@@ -203,10 +252,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = components(confirm(stars, sets, percent))
     first = cut(first)
     named = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    facts = cut(named.select("key", "id", "component"))
+    facts = cut(named.select("key", "band", "id", "component"))
     per = facts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = facts.join(per, "key").join(sigs, "id")
-    second = confirm(across(open_, percent, id_type), sets, percent)
+    second = cut(across(open_, sets, percent, rows, id_type))
     names = first.select(F.col("node").alias("id"), "component")
     ends = second.join(names.toDF("a", "ca"), "a", "left").join(names.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(ends)
