@@ -6,9 +6,9 @@ places lie in D; the ``length - P + 1`` words there are an anchor.  So hashing
 anchors only at cover positions (5 of 21) still meets every repeated window.
 
 1. One scan emits the anchors of every text.  A repeated anchor is one that
-   occurs at two places of different texts, or twice in one text.
+   occurs at two places.
 2. Texts with repeated anchors are extended: each repeated anchor stands in at
-   most P windows, and only those windows are hashed in full (128 bits) and
+   most P windows, and only those windows are hashed in full (96 bits) and
    counted.  A window counted twice covers its words.
 Rows with equal texts form one class that is hashed once; its words, if it has
 a window and two rows or more, are all repeated.  Counting is by hash, so a
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, run_hash, slices, table, text_buffers
+from .common import Words, cut, mix64, run_hash, slices, table, text_buffers
 
 LENGTH = 35
 #: A perfect difference cover modulo 21: every difference occurs.
@@ -49,49 +49,79 @@ def text_key(text: Column) -> list[Column]:
 
 
 def anchors(texts: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """(h, k1, pos) of every anchor of texts of at least ``length`` words; texts: (k1, text)."""
+    """(h, k) of every anchor of texts of at least ``length`` words; texts: (k, text)."""
     size = check_cover(length, period, cover)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_cover = np.isin(np.arange(period), cover)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 w = Words(data, offsets[i : j + 1])
-                n = np.diff(w.begin)[w.row]
-                pos = np.arange(len(w)) - w.begin[w.row]
-                at = np.flatnonzero(at_cover[pos % period] & (n >= length) & (pos + size <= n))
-                yield pa.RecordBatch.from_arrays([pa.array(run_hash(w.hash[0], at, size, 21).view(np.int64)), pa.array(keys[i:j][w.row[at]]), pa.array(pos[at].astype(np.int32))], names=["h", "k1", "pos"])
+                at = at_cover(w, length, period, cover, size)
+                yield pa.RecordBatch.from_arrays([pa.array(run_hash(w.hash[0], at, size, 21).view(np.int64)), pa.array(keys[i:j][w.row[at]])], names=["h", "k"])
 
-    return texts.mapInArrow(run, "h long, k1 long, pos int")
+    return texts.mapInArrow(run, "h long, k long")
+
+
+def squeezed(texts: DataFrame) -> DataFrame:
+    """The texts, last column, as compressed binaries: what is shuffled and stored is less than half."""
+    import zstandard
+
+    names = texts.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            small = [press(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(small, pa.binary())], names=[*names, "text"])
+
+    return texts.mapInArrow(run, ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in names) + ", text binary")
+
+
+def unsqueezed(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    full = zstandard.ZstdDecompressor().decompress
+    return pa.array([full(x.as_buffer()) if x.is_valid else None for x in column], pa.large_binary())
+
+
+def at_cover(w: Words, length: int, period: int, cover: tuple[int, ...], size: int) -> np.ndarray:
+    """Indices of the words that start an anchor."""
+    n = np.diff(w.begin)[w.row]
+    pos = np.arange(len(w)) - w.begin[w.row]
+    return np.flatnonzero(np.isin(np.arange(period), cover)[pos % period] & (n >= length) & (pos + size <= n))
 
 
 def windows(texts: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """(w1, w2, k1, k2, pos) of the windows that hold a repeated anchor; texts: (k1, k2, text, places)."""
+    """(w1, w2, row, pos) of the windows that hold a repeated anchor; texts: (row, text, anchors)."""
     size = check_cover(length, period, cover)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        for batch in (big.slice(k, 512) for big in batches for k in range(0, big.num_rows, 512)):
+            data, offsets = text_buffers(unsqueezed(batch.column(1)))
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 w = Words(data, offsets[i : j + 1], hashes=2)
-                places = batch.column(3).slice(i, j - i)
-                row = np.repeat(np.arange(j - i), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                at = w.begin[:-1][row] + places.flatten().to_numpy(zero_copy_only=False)
-                n = np.diff(w.begin)
-                low = np.maximum(at - (length - size), w.begin[:-1][row])
-                high = np.minimum(at, w.begin[:-1][row] + n[row] - length) + 1
+                at = at_cover(w, length, period, cover, size)
+                known = batch.column(2).slice(i, j - i)
+                # an anchor of a row is told by its hash and row together; a chance hit only adds windows to judge
+                salt = mix64(np.arange(1, j - i + 1, dtype=np.uint64))
+                have = known.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ np.repeat(salt, known.value_lengths().to_numpy(zero_copy_only=False))
+                at = at[np.isin(run_hash(w.hash[0], at, size, 21) ^ salt[w.row[at]], have)]
+                first, n = w.begin[:-1][w.row[at]], np.diff(w.begin)[w.row[at]]
+                low = np.maximum(at - (length - size), first)
+                high = np.minimum(at, first + n - length) + 1
                 ok = high > low
                 step = np.zeros(len(w) + 1, dtype=np.int64)
                 np.add.at(step, low[ok], 1)
                 np.add.at(step, high[ok], -1)
                 start = np.flatnonzero(np.cumsum(step)[:-1] > 0)
                 r = w.row[start]
-                yield pa.RecordBatch.from_arrays([pa.array(run_hash(w.hash[0], start, length, 31).view(np.int64)), pa.array(run_hash(w.hash[1], start, length, 32).view(np.int64)), pa.array(k1[i:j][r]), pa.array(k2[i:j][r]), pa.array((start - w.begin[r]).astype(np.int32))], names=["w1", "w2", "k1", "k2", "pos"])
+                second = (run_hash(w.hash[1], start, length, 32) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(run_hash(w.hash[0], start, length, 31).view(np.int64)), pa.array(second), pa.array(rows[i:j][r]), pa.array((start - w.begin[r]).astype(np.int32))], names=["w1", "w2", "row", "pos"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, pos int")
+    return texts.mapInArrow(run, "w1 long, w2 int, row long, pos int")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> tuple[DataFrame, DataFrame]:
@@ -99,25 +129,26 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     whole if they have a window, and ``starts(k1, k2, text, starts)``, other texts with the
     first words of their repeated windows.
     """
-    rows = df.select(F.col(text_col).alias("text"), *text_key(F.col(text_col)))
-    copies = cut(rows.where("text <> ''").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
-    found = anchors(rows.select("k1", "text"), length, period, cover)
-    one = F.struct("k1", "pos")
+    rows = df.select(F.col(text_col).alias("text"), *text_key(F.col(text_col)), F.xxhash64(F.col(id_col)).alias("own"))
+    # 40 bits deal out anchors; texts that share them only share candidates
+    rows = rows.withColumn("k", F.shiftrightunsigned("k1", 24))
+    classes = cut(rows.where("text <> ''").groupBy("k", "k1", "k2").agg(F.count("*").alias("n"), F.min("own").alias("rep")).where("n > 1"))
+    found = anchors(rows.select("k", "text"), length, period, cover)
     by = Window.partitionBy("h")
-    twice = found.withColumn("low", F.min(one).over(by)).withColumn("high", F.max(one).over(by)).where("low != high")
-    places = cut(twice.groupBy("k1").agg(F.collect_set("pos").alias("places")))
-    by_k1 = copies.groupBy("k1").agg(F.collect_set("k2").alias("k2s"))
-    held = rows.join(places.join(by_k1, "k1", "left"), "k1")
-    held = held.select("k1", "k2", "text", "places", F.coalesce(F.array_contains("k2s", F.col("k2")), F.lit(False)).alias("many"))
-    # any one row stands for a class of copies; the choice combines map-side
-    single = held.where("not many").drop("many")
-    shared = held.where("many").groupBy("k1", "k2").agg(F.min_by(F.struct("text", "places"), F.lit(0)).alias("v")).select("k1", "k2", "v.*")
-    texts = cut(single.withColumn("many", F.lit(False)).unionByName(shared.withColumn("many", F.lit(True))))
-    judged = windows(texts.select("k1", "k2", "text", "places"), length, period, cover)
-    by = Window.partitionBy("w1", "w2")
-    again = judged.withColumn("c", F.count("*").over(by)).where("c > 1")
-    starts = again.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"))
-    return copies, texts.where("not many").select("k1", "k2", "text").join(starts, ["k1", "k2"])
+    twice = found.withColumn("n", F.count("*").over(by)).withColumn("far", F.min("k").over(by) != F.max("k").over(by)).where("n > 1")
+    # far: in another text as well; near: only in one text or its copies
+    places = twice.groupBy("k").agg(F.collect_set(F.when(F.col("far"), F.col("h"))).alias("far"), F.collect_set(F.when(~F.col("far"), F.col("h"))).alias("near"))
+    places = cut(places.join(classes.groupBy("k").agg(F.collect_list(F.struct("k1", "k2", "rep")).alias("classes")), "k", "left"))
+    mine = F.filter("classes", lambda c: (c["k1"] == F.col("k1")) & (c["k2"] == F.col("k2")))
+    held = squeezed(rows.select("k", "k1", "k2", "own", "text")).join(places, "k").withColumn("class", F.try_element_at(mine, F.lit(1)))
+    # one row stands for a class of copies; its windows matter to other texts only
+    held = held.where("class is null or own = class.rep").withColumn("anchors", F.when(F.col("class").isNull(), F.concat("far", "near")).otherwise(F.col("far"))).where("size(anchors) > 0")
+    held = held.select("k1", "k2", "text", "anchors", F.col("class").isNotNull().alias("many"), F.monotonically_increasing_id().alias("row"))
+    texts = cut(held)
+    judged = windows(texts.select("row", "text", "anchors"), length, period, cover)
+    again = judged.withColumn("c", F.count("*").over(Window.partitionBy("w1", "w2"))).where("c > 1")
+    starts = again.groupBy("row").agg(F.collect_set("pos").alias("starts"))
+    return classes.select("k1", "k2"), texts.where("not many").select("row", "k1", "k2", "text").join(starts, "row").select("k1", "k2", "text", "starts")
 
 
 def covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -145,7 +176,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sums = [], []
-            for text, at in zip(batch.column(2), batch.column(3), strict=True):
+            for text, at in zip(unsqueezed(batch.column(2)), batch.column(3), strict=True):
                 words = text.as_buffer().to_pybytes().split()
                 gone = covered(at.values.to_numpy(zero_copy_only=False), len(words), length)
                 n.append(int(gone.sum()))
@@ -175,7 +206,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, at in zip(batch.column(2), batch.column(3), strict=True):
+            for text, at in zip(unsqueezed(batch.column(2)), batch.column(3), strict=True):
                 raw = text.as_buffer()
                 data = np.frombuffer(raw, dtype=np.uint8)
                 w = Words(data, np.array([0, len(data)]))
