@@ -49,6 +49,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: Elements inside which an ended paragraph or item is looked for, and no further.
 WALLS = frozenset("ul ol dl table div section article main aside nav header footer form body html blockquote".split())
 
+#: Elements that hold blocks.
+HOLDERS = frozenset("article main section aside nav header footer form div body".split())
+
 
 def names_in(attributes: str) -> tuple[str, ...]:
     found = set()
@@ -146,7 +149,11 @@ def blocks(html: str) -> list[tuple[str, tuple, int]]:
 
 
 def path_features(path: tuple) -> list[str]:
-    out = {"own=" + (path[-1][0] if path else "-")}
+    own = path[-1][0] if path else "-"
+    holder = next((e for e in reversed(path) if e[0] in HOLDERS), ("-",))
+    out = {"own=" + own, "holder=" + holder[0], f"holder={holder[0]} own={own}"}
+    if len(holder) == 1:
+        out.add(f"bare holder={holder[0]}")
     for e in path:
         out.add("in=" + e[0])
         out |= {"name=" + x for x in e[1:]}
@@ -210,7 +217,7 @@ class Model:
         return decode
 
 
-def fit(pages: Iterable[tuple[list[list[str]], list[int]]], steps: int = 150, rate: float = 0.15, decay: float = 2e-4) -> Model:
+def fit(pages: Iterable[tuple[list[list[str]], list[int]]], steps: int = 250, rate: float = 0.15, decay: float = 1e-4) -> Model:
     """Maximum likelihood by Adam; pages: (features of each block, label of each block)."""
     pages = [p for p in pages if p[1]]
     names = {f: i for i, f in enumerate(sorted({f for blocks_, _ in pages for b in blocks_ for f in b}))}

@@ -25,7 +25,7 @@ NAMES = {
     "form": ["form", "search", "search-box", "login", "signup", "contact-form", "comment-form", "subscribe-form"],
     "comments": ["comments", "comment", "comment-list", "discussion", "replies", "responses", "reader-comments", "disqus"],
 }
-TAGS = {"article": ["article", "main", "div", "section"], "nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "notice": ["div", "section", "aside", "p"], "ad": ["div", "aside", "p", "ins"], "form": ["form"], "comments": ["section", "div", "ol"]}
+TAGS = {"article": ["article", "main", "div", "section"], "nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "notice": ["div", "section", "aside"], "ad": ["div", "aside", "section"], "form": ["form"], "comments": ["section", "div", "ol"]}
 
 
 class Writer:
@@ -74,7 +74,7 @@ class Writer:
             out.append(("<button>", self.sentence(1, 2), OTHER))
         elif kind == "comments":
             for _ in range(r.randint(1, 5)):
-                out.append((f'<{r.choice(["div", "li", "article"])}{r.choice(["", chr(32) + "class=" + chr(34) + "comment" + chr(34)])}>', None, OTHER))
+                out.append((r.choice(["<div>", "<li>", '<div class="comment">', '<article class="comment">', '<li id="comment-7">']), None, OTHER))
                 out.append((r.choice(["<p>", "<div>"]), self.text(r.random() < 0.6), OTHER))
         elif kind == "footer":
             out.append((r.choice(["<p>", ""]), f"&copy; {self.word()}.example &middot; {self.text(False)}", OTHER))
@@ -110,7 +110,7 @@ class Writer:
             elif x < 0.22:
                 parts.append((r.choice(["<blockquote>", "<pre>", "<td>", "<figcaption>"]), self.text(r.random() < 0.5), MAIN))
                 parts.append((r.choice(["</blockquote>", ""]), None, MAIN))
-            elif x < 0.3:
+            elif x < 0.36:
                 parts += self.boiler(r.choice(["ad", "ad", "notice", "aside", "form"]))
             else:
                 parts.append((paragraph, self.text(True), MAIN))
