@@ -99,9 +99,9 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if -1 in heads:
         null = ids.where("id is null").groupBy("id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
         first = first.unionByName(null.select(F.lit(before[-1]).alias("bucket"), "id", "text"))
-    first = choices(first, "text", "choices").withColumn("extra", F.lit(1))
-    rows = fingerprints(df, id_col, text_col).withColumn("bucket", bucket).withColumn("extra", F.lit(0))
-    every = rows.unionByName(first)
+    rows = ids.select("id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"), F.lit(0).alias("extra"))
+    # only texts are dealt; fingerprints are made where a bucket's rows have come together
+    every = choices(rows.unionByName(first.withColumn("extra", F.lit(1))).repartition("bucket"), "text", "choices")
     w = Window.partitionBy("bucket").orderBy("extra", F.col("id").desc_nulls_last(), F.col("text").desc())
     return every.withColumn("next", F.lead(F.struct("text", "choices")).over(w)).where("extra = 0").select("id", "text", "choices", "next")
 
