@@ -148,8 +148,6 @@ def test_toxicity(spark, docs, none, sf):
 def test_pages(spark):
     decode = html.default_model().decoder()
     tp = fp = fn = 0
-    for _, f, y in html.labelled(77, 120):
-        pass
     for page, _, y in html.labelled(77, 120):
         got = decode(html.blocks(page))
         tp += sum(a and b for a, b in zip(got, y, strict=True))
@@ -221,7 +219,7 @@ def test_mixing(spark, docs, none):
     out = mixing.resample(df)
     assert out.columns == df.columns
     n = Counter()
-    for x in rows:
+    for x in mixing.mix(df).collect():
         n[x.id] += x.copies
     assert Counter(x.doc_id for x in out.collect()) == +n
     assert mixing.mix(none).count() == 0 and mixing.resample(none).count() == 0
