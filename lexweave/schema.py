@@ -4,7 +4,6 @@ from pyspark.sql import types as T
 
 from .functions.fixed import CATEGORIES, KIND_RANK
 
-SYMBOL = T.StructType.fromDDL("name string, kind string, container string")
 TABLES = {
     "libraries": "id string, name string, hint string, current_version string, all_versions array<string>",
     "library_versions": "id string, library_id string, version string, scraped_at timestamp, page_count long, chunk_count long, embedding_provider_id string, embedding_model_name string, embedding_dimensions int, previous_version string, boundary_issue_pct double, suspect boolean, suspect_reasons array<string>, last_suspect_evaluated_at timestamp",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def point(table: DataFrame, **key: str) -> DataFrame:
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, content binary) of all files below a folder; path is relative."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root), "^[a-z]+:/*|/+$", "")
-    return f.select(F.regexp_replace(F.substring_index("path", F.concat(F.lit("/"), F.regexp_extract(base, "[^/]+$", 0), F.lit("/")), -1), "^/", "").alias("path"), "length", "content")
+    base = re.sub(r"^[a-z0-9]+:/*", "", root).strip("/")
+    return f.select(F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*\Q{base}\E/", "").alias("path"), "length", "content")
 
 
 def repository(spark: SparkSession, root: str, owner: str, name: str) -> DataFrame:

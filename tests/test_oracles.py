@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from lexweave.plans import catalog, corpus, scalars, tables  # noqa: F401  (they register their queries)
+from lexweave.plans import catalog, corpus, scalars, streams, tables  # noqa: F401  (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
