@@ -306,9 +306,9 @@ def c4(s, d):
     return G.QUERIES.frame(s).select("id", g("Llm").alias("on_llm"), g("Off").alias("on_off"))
 
 
-@query("c5_rerank_blend", f"SELECT id, .6 * least(coalesce(try_cast(regexp_extract(reply, '(\\d*\\.\\d+|\\d+)', 1) AS DOUBLE), 0), 1) + .4 * 0.5 AS score FROM {G.SCORES.sql}")
+@query("c5_rerank_blend", f"SELECT id, round(.6 * least(coalesce(try_cast(regexp_extract(reply, '(\\d*\\.\\d+|\\d+)', 1) AS DOUBLE), 0), 1) + .4 * 0.5, 6) AS score FROM {G.SCORES.sql}")
 def c5(s, d):
-    return G.SCORES.frame(s).select("id", search.rerank_blend(X.parse_score(F.col("reply")), F.lit(0.5)).alias("score"))
+    return G.SCORES.frame(s).select("id", F.round(search.rerank_blend(X.parse_score(F.col("reply")), F.lit(0.5)), 6).alias("score"))
 
 
 @query("c6_rerankers")

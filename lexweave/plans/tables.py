@@ -283,9 +283,9 @@ def o4(s, d):
     return profiling.recent(bind.jobs(s, d)).select("id")
 
 
-@query("o5_running_jobs", "SELECT id, created_at FROM jobs_t WHERE status = 'Running'")
+@query("o5_running_jobs", "SELECT id, error_count FROM jobs_t WHERE status = 'Running'")
 def o5(s, d):
-    return bind.jobs(s, d).where("status = 'Running'").orderBy(F.desc("created_at"), "id").select("id", "created_at")
+    return bind.jobs(s, d).where("status = 'Running'").orderBy(F.desc("created_at"), "id").select("id", "error_count")
 
 
 @query("o6_excluded_top", "SELECT name, chunk_count FROM (SELECT name, count(DISTINCT id) AS chunk_count FROM (SELECT id, unnest(regexp_extract_all(content, '[A-Za-z]+')) AS name FROM chunks_t) WHERE length(name) = 2 GROUP BY name) ORDER BY chunk_count DESC, name LIMIT 50")

@@ -2,7 +2,7 @@
 
 Reading is bounded per trigger, which is the back-pressure; texts are cut and indexed
 without state; a sink commits every micro-batch under its number, so a replayed one
-replaces itself.  The reference state machine of host limits runs as keyed state.
+replaces itself.  The state machine of host limits runs as keyed state.
 """
 
 from __future__ import annotations
