@@ -139,26 +139,26 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def across(members: DataFrame, sets: DataFrame, percent: int, rows_per_band: int, id_type: str) -> DataFrame:
+def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
     """Confirmed links (a, b) between components of one bucket, enough of them to join what is linked.
 
-    ``members`` has (key, band, id, component, size, sig).  The members outside
-    the pivot's component meet each other and those inside, block against block.
-    First by signature: a pair counts in the first band that it shares, so in one
-    bucket only, and each block passes on the members that have a near partner,
-    never the pairs.  Then their full sets are compared, as a product of incidence
+    ``members`` has (key, band, id, component), ``sigs`` (id, size, sig, bands).  The
+    members outside the pivot's component meet each other and those inside, block
+    against block.  First by signature: a pair counts in the first band whose key it
+    shares, so in one bucket only, and each block passes on the members that have a
+    near partner, never the pairs.  Then their full sets are compared, as a product of incidence
     matrices, and a block passes on links that join components, fewer than members.
     """
     per = members.groupBy("key").agg(F.min_by("component", "id").alias("main"))
     rows = members.join(per, "key")
     minor = F.col("component") != F.col("main")
     sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.when(minor, 1).otherwise(0)) / BLOCK).cast("int").alias("km"), F.ceil(F.sum(F.when(minor, 0).otherwise(1)) / BLOCK).cast("int").alias("ka"))
-    rows = rows.join(sizes, "key")
+    rows = rows.join(sizes, "key").join(sigs, "id")
     s = F.pmod(F.xxhash64("id", "key"), F.when(minor, F.col("km")).otherwise(F.col("ka"))).cast("int")
     at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     to = lambda n: F.sequence(F.lit(0), n - 1)
     tasks = F.when(minor, F.concat(F.transform(to(F.col("ka")), lambda j: at("a", F.col("s"), j)), F.transform(to(F.col("km")), lambda j: at("m", F.least(F.col("s"), j), F.greatest(F.col("s"), j))))).otherwise(F.transform(to(F.col("km")), lambda i: at("a", i, F.col("s"))))
-    dealt = rows.withColumn("s", s).withColumn("minor", minor).withColumn("task", F.explode(tasks)).select("key", "band", "task.kind", "task.i", "task.j", "id", "component", "size", "sig", "minor", "s")
+    dealt = rows.withColumn("s", s).withColumn("minor", minor).withColumn("task", F.explode(tasks)).select("key", "band", "task.kind", "task.i", "task.j", "id", "component", "size", "sig", "bands", "minor", "s")
 
     def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         kind, i, j = (group[c][0].as_py() for c in ("kind", "i", "j"))
@@ -177,13 +177,13 @@ def across(members: DataFrame, sets: DataFrame, percent: int, rows_per_band: int
         li, ri = sides(group)
         band = group["band"][0].as_py()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
+        keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         hit = np.zeros(group.num_rows, dtype=bool)
         x, y = np.nonzero(apart(group, li, ri))
         for q in range(0, len(x), 50_000):
             xx, yy = li[x[q : q + 50_000]], ri[y[q : q + 50_000]]
-            same = sig[xx] == sig[yy]
-            near = same.mean(axis=1) >= percent / 100 - SLACK
-            near[near] = same[near].reshape(-1, same.shape[1] // rows_per_band, rows_per_band).all(axis=2).argmax(axis=1) == band
+            near = (sig[xx] == sig[yy]).mean(axis=1) >= percent / 100 - SLACK
+            near[near] = (keys[xx[near]] == keys[yy[near]]).argmax(axis=1) == band
             hit[xx[near]] = True
             hit[yy[near]] = True
         return group.filter(pa.array(hit)).select(["key", "kind", "i", "j", "id", "component", "size", "minor", "s"])
@@ -246,16 +246,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = cut(keys.join(buckets, "key"))
     ids = members.select("id").distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
-    sigs = reps.select(F.col("rep").alias("id"), F.col("n").alias("size"), "sig")
-    sets = cut(full_sets(texts, "id", "text", words).join(sigs, "id").where(F.octet_length("set") == 8 * F.col("size")))
+    sigs = reps.select(F.col("rep").alias("id"), F.col("n").alias("size"), "sig", "bands")
+    sets = cut(full_sets(texts, "id", "text", words).join(sigs.drop("bands"), "id").where(F.octet_length("set") == 8 * F.col("size")))
     stars = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = components(confirm(stars, sets, percent))
     first = cut(first)
     named = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     facts = cut(named.select("key", "band", "id", "component"))
     per = facts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = facts.join(per, "key").join(sigs, "id")
-    second = cut(across(open_, sets, percent, rows, id_type))
+    second = cut(across(facts.join(per, "key"), sigs, sets, percent, id_type))
     names = first.select(F.col("node").alias("id"), "component")
     ends = second.join(names.toDF("a", "ca"), "a", "left").join(names.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(ends)

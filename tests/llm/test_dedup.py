@@ -73,6 +73,41 @@ def test_blocks_join_what_pivots_miss(spark, docs, monkeypatch):
     assert got == want and len({v[2] for v in want.values()}) > 2
 
 
+def pairs_behind_pivots(seed, n, share, size=90):
+    """Of n pairs of texts of similarity ``share``/``size``, one word a shingle, those that share a band, but only after one where
+    just the minima's low bytes agree; and for each band they share a text of its least words, which is like neither."""
+    r = np.random.default_rng(seed)
+    alone = (size - share) // 2
+    sets = []
+    for _ in range(n):
+        w = [f"{x:x}" for x in r.integers(1 << 60, size=size)]
+        sets += [w[: share + alone], w[:share] + w[share + alone :]]
+
+    def minima_of(lists):
+        raw = [" ".join(x).encode() for x in lists]
+        values, begin = minhash.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1)
+        return minhash.minima(values, begin[:-1], minhash.BANDS * minhash.ROWS).T.reshape(len(lists), minhash.BANDS, minhash.ROWS)
+
+    m = minima_of(sets)
+    low = minhash.mix64(m).astype(np.uint8)
+    equal, bytes_equal = (m[::2] == m[1::2]).all(axis=2), (low[::2] == low[1::2]).all(axis=2)
+    pivots, pairs = [], []
+    for k in np.flatnonzero(equal.any(axis=1) & (equal.argmax(axis=1) != bytes_equal.argmax(axis=1))):
+        least = minima_of([[x] for x in sets[2 * k]])
+        for b in np.flatnonzero(equal[k]):
+            pivots.append(" ".join(sorted({sets[2 * k][(least[:, b, i] == m[2 * k, b, i]).argmax()] for i in range(minhash.ROWS)})))
+        pairs += [" ".join(x) for x in sets[2 * k : 2 * k + 2]]
+    return pivots, pairs
+
+
+def test_first_shared_band_is_one_of_keys(spark, docs):
+    """Equal low bytes of an earlier band's minima don't keep a pair from being judged."""
+    pivots, pairs = pairs_behind_pivots(11, 600, 72)
+    rows = list(enumerate(pivots + pairs))
+    got = {r[0]: tuple(r) for r in minhash.near_duplicates(docs(pivots + pairs), words=1).collect()}
+    assert pairs and got == brute_near(rows, 1)
+
+
 def test_near_duplicate_rows(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
     twice = docs(["a b c d e f g", None]).unionByName(docs(["a b c d e f g"]))
