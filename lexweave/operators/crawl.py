@@ -47,19 +47,20 @@ def child_entries(entries: DataFrame, links: DataFrame, root: str) -> DataFrame:
     )
 
 
-def crawl(links: DataFrame, root: str, rounds: int = 12, excluded: list[str] | None = None, visited: DataFrame | None = None) -> DataFrame:
+def crawl(links: DataFrame, root: str, excluded: list[str] | None = None, visited: DataFrame | None = None) -> DataFrame:
     """Pages reached from ``root`` over (src, link), breadth first, each once with its first depths.
 
     In-scope pages of a level come first where two ways lead to a page.  ``visited``
     (url) was stored before: it is walked through, not returned.  Every round is one join
-    and one anti-join, cut by a checkpoint; it ends when a level is empty.
+    and one anti-join, cut by a checkpoint; it ends when a level is empty, which the
+    depth limits and the pages seen bring about, however long the paths are.
     """
     spark = links.sparkSession
     links = cut(links.select("src", "link").distinct())
     level = spark.createDataFrame([(root, "in", 0, 0, 0)], "url string, scope string, in_depth int, same_depth int, off_depth int")
     seen = level
     order = Window.partitionBy(F.lower("url")).orderBy(F.when(F.col("scope") == "in", 0).when(F.col("scope") == "same", 1).otherwise(2), "in_depth", "same_depth", "off_depth", "url")
-    for _ in range(rounds):
+    while True:
         new = child_entries(level, links, root).where(~U.depth_reached(F.col("scope"), F.col("in_depth") - 1, F.col("same_depth") - 1, F.col("off_depth") - 1))
         new = new.where(U.url_allowed(F.col("url"), [], fixed.EXCLUDED_URLS if excluded is None else excluded))
         new = new.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")

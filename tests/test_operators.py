@@ -81,6 +81,13 @@ def test_cycle_ends(spark):
     assert crawl.crawl(g, "https://a.com/1").count() == 2
 
 
+def test_crawl_follows_paths_of_any_length(spark):
+    """In-scope pages set the other depths back, so pages within the limits lie 24 links from the root."""
+    path = ["https://a.com/g/", *[f"https://a.com/{'g/' if k % 3 == 0 else 'o/'}{k}" for k in range(1, 25)]]
+    g = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "src string, link string")
+    assert {r.url for r in crawl.crawl(g, path[0]).collect()} == set(path)
+
+
 def test_status_and_stale(spark):
     j = spark.createDataFrame([("a", "Running", "2024-01-01 00:00:00", None), ("b", "Running", "2024-01-01 00:00:01", None), ("c", "Running", "2024-01-01 00:00:00", "2024-01-01 03:00:00")], "id string, status string, created_at string, last_progress_at string").withColumns({"created_at": F.to_timestamp("created_at"), "last_progress_at": F.to_timestamp("last_progress_at")})
     now = F.lit("2024-01-01 04:00:01").cast("timestamp")
