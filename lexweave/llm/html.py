@@ -60,7 +60,7 @@ def names_in(attributes: str) -> tuple[str, ...]:
         if key == "hidden" or (key == "style" and "none" in value):
             found.add("hidden")
         elif key != "style":
-            found |= {x.lower() for x in PIECE.findall(value)[:12]}
+            found |= {x.lower() for x in PIECE.findall(value)}
     return tuple(sorted(found))
 
 

@@ -163,6 +163,11 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_all_words_of_a_name_count():
+    value = "flex flex-col gap-4 mx-auto max-w-3xl px-4 comments"
+    assert set(html.element("div", f' class="{value}"')[1:]) == {"flex", "col", "gap", "4", "mx", "auto", "max", "w", "3", "xl", "px", "comments"}
+
+
 def test_viterbi_is_the_best_path():
     page, f, _ = html.labelled(5, 3)[0]
     model = html.default_model()
