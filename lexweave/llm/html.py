@@ -12,6 +12,11 @@ The default model is fitted on ``TRAINING_PAGES`` pages written by ``html_pages`
 on the driver, and is a few thousand weights.  Labelled pages of one's own can be
 given instead.
 
+Formulas (MathML) and the text of drawings (SVG) are text of the block around them.
+Left out is what a browser with scripts doesn't show: scripts, styles, templates, the
+head, noscript, what stands in for a frame, object or canvas, a formula's annotations
+and phantoms, a drawing's descriptions and definitions; and the content of form controls.
+
 Null and empty pages have an empty text.  Any markup is read to its end, however
 broken.  Repeated rows give equal rows; empty tables give empty results; only the
 id, url and html columns are read.
@@ -39,11 +44,13 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select textarea".split())
+SKIPPED = frozenset("script style noscript template iframe object canvas head title select textarea annotation annotation-xml mphantom desc metadata defs symbol".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of formulas and drawings; they run inside a block, and end at once if they end in a slash.
+FOREIGN = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml svg g path rect circle ellipse line polyline polygon text tspan textpath use image marker mask pattern clippath lineargradient radialgradient stop filter switch animate animatetransform set desc metadata defs symbol".split())
 #: Elements that run inside a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br picture source".split())
+INLINE = FOREIGN | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br picture source".split())
 #: A start tag of the first kind ends an open element of the second kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements inside which an ended paragraph or item is looked for, and no further.
@@ -109,20 +116,21 @@ def blocks(html: str) -> list[tuple[str, tuple, int]]:
             continue
         tag, end = name.lower(), (m[1] or m[4]) == "/"
         if tag in SKIPPED and not end:
-            flush()
-            if (m[3] or m[6] or "").endswith("/") and tag in ("svg", "math"):
+            if tag in FOREIGN and (m[3] or m[6] or "").endswith("/"):
                 continue
+            if tag not in FOREIGN and not any(e[0] in ("svg", "math") for e in stack):
+                flush()
             close = re.compile(rf"</{tag}\b[^>]*>|<body\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = n if close is None and tag in ("script", "style") else at if close is None else close.start() if close[0][:2] != "</" else close.end()
             continue
-        if tag == "br":
+        if tag == "br" or tag == "text":
             if texts:
                 texts.append(" ")
             continue
         inline = tag in INLINE
         if not inline:
             flush()
-        if tag in VOID:
+        if tag in VOID or (tag in FOREIGN and (m[3] or m[6] or "").endswith("/")):
             continue
         if end:
             for k in range(len(stack) - 1, -1, -1):

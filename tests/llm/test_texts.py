@@ -168,6 +168,13 @@ def test_all_words_of_a_name_count():
     assert set(html.element("div", f' class="{value}"')[1:]) == {"flex", "col", "gap", "4", "mx", "auto", "max", "w", "3", "xl", "px", "comments"}
 
 
+def test_formulas_and_drawings_are_text():
+    math = "<math><semantics><mrow><msup><mi>E</mi><mn>2</mn></msup><mspace width='1em'/><mo>=</mo><mi>m</mi></mrow><annotation encoding='tex'>E^2</annotation></semantics></math>"
+    drawing = "<svg><title>t</title><defs/><g><path d='M0'/><text>left</text><text>right</text></g><desc>d</desc></svg>"
+    found = html.blocks(f"<article><p>Here {math} holds.</p><p>See {drawing} too.</p><script>x</script><select><option>o</select></article>")
+    assert [(t, [e[0] for e in p]) for t, p, _ in found] == [("Here E2=m holds.", ["article", "p"]), ("See left right too.", ["article", "p"])]
+
+
 def test_viterbi_is_the_best_path():
     page, f, _ = html.labelled(5, 3)[0]
     model = html.default_model()
