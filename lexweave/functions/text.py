@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-PROSE = r"[A-Za-z][A-Za-z0-9]+"
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*"
-SHAPES = (r"\b[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]+\b", r"\b[A-Za-z_][A-Za-z0-9_]*::[A-Za-z_][A-Za-z0-9_]+\b", r"\b[A-Za-z_][A-Za-z0-9_]*\(", r"\b[A-Za-z]+[a-z]+[A-Z][A-Za-z0-9]*\b", r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b")
-MENTION = r"(?U)\b[A-Z][A-Za-z0-9_]+\b"
-
 
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)
@@ -25,11 +20,11 @@ def url_key(url: Column) -> Column:
 
 
 def prose_tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(PROSE), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(c, F.lit(fixed.PROSE), F.lit(0)), F.lower)
 
 
 def identifier_tokens(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(c, F.lit(IDENTIFIER), F.lit(0)), lambda t: F.length(t) >= 2)
+    return F.filter(F.regexp_extract_all(c, F.lit(fixed.IDENTIFIER), F.lit(0)), lambda t: F.length(t) >= 2)
 
 
 def terms(c: Column) -> Column:
@@ -44,7 +39,7 @@ def query_terms(c: Column) -> Column:
 def query_shape(c: Column) -> Column:
     """Does the query look like an identifier?"""
     out = F.lit(False)
-    for p in SHAPES:
+    for p in fixed.SHAPES:
         out = out | c.rlike("(?U)" + p)
     return out
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..functions import text as X
 
-TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:-[A-Za-z][A-Za-z0-9_]*)*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*")
+TOKEN = re.compile(fixed.TOKEN)
 EDGE = ".,;:!?)(][><\"'`"
 BEFORE = re.compile(r"([^\W\d]+)\s*\Z")
 CANDIDATE = T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("name", "leaf", "container")), *(T.StructField(c, T.BooleanType()) for c in ("callable", "generic")), T.StructField("keyword", T.StringType())]))
@@ -59,23 +59,20 @@ def code_fence_symbols(chunks: DataFrame) -> DataFrame:
     fence = F.regexp_extract_all("content", F.lit(r"(?s)```[^\r\n]*\r?\n(.*?)```"), F.lit(1))
     pre = F.regexp_extract_all("content", F.lit(r"(?is)<pre[^>]*>\s*<code[^>]*>(.*?)</code>\s*</pre>"), F.lit(1))
     block = chunks.select("library_id", "version", F.explode(F.concat(fence, pre)).alias("block"))
-    ids = block.select("library_id", "version", F.explode(F.filter(F.regexp_extract_all("block", F.lit(X.IDENTIFIER), F.lit(0)), lambda x: F.length(x) >= 2)).alias("id"))
+    ids = block.select("library_id", "version", F.explode(F.filter(F.regexp_extract_all("block", F.lit(fixed.IDENTIFIER), F.lit(0)), lambda x: F.length(x) >= 2)).alias("id"))
     parts = F.filter(F.split("id", r"\.|::|->"), lambda x: F.length(x) >= 2)
     return ids.select("library_id", "version", F.explode(F.array_distinct(F.concat(F.array("id"), parts))).alias("name")).distinct()
 
 
 def prose_mentions(chunks: DataFrame) -> DataFrame:
     """(name, mentions) of capitalised words outside code."""
-    words = F.regexp_extract_all(X.strip_fences(F.col("content")), F.lit(X.MENTION), F.lit(0))
+    words = F.regexp_extract_all(X.strip_fences(F.col("content")), F.lit(fixed.MENTION), F.lit(0))
     return chunks.select("library_id", "version", F.explode(words).alias("name")).where(F.length("name") >= 2).groupBy("library_id", "version", "name").agg(F.count("*").alias("mentions"))
 
 
-DOTTED = r"(?U)\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b"
-
-
 def dotted_identifiers(chunks: DataFrame) -> DataFrame:
     """Distinct dotted identifiers and every neighbouring pair in them."""
-    path = chunks.select("library_id", "version", F.explode(F.regexp_extract_all("content", F.lit(DOTTED), F.lit(0))).alias("path")).distinct()
+    path = chunks.select("library_id", "version", F.explode(F.regexp_extract_all("content", F.lit(fixed.DOTTED), F.lit(0))).alias("path")).distinct()
     seg = F.split("path", r"\.")
     pairs = F.transform(F.sequence(F.lit(0), F.size(seg) - 2), lambda i: F.concat_ws(".", F.get(seg, i), F.get(seg, i + 1)))
     return path.select("library_id", "version", F.explode(F.array_union(F.array("path"), pairs)).alias("name")).distinct()

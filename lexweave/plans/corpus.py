@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as X
 from ..operators import chunking, crawl, deps, lexical, profiling, search, versions
 from ..operators import symbols as Y
@@ -300,7 +301,7 @@ def c3(s, d):
     return search.overview(bind.chunks(s, d, vectors=True).where("library_id = 'src3'"), query_vector(s, d)).select("id")
 
 
-@query("c4_rerank_gate", "SELECT id, NOT (" + " OR ".join(f"regexp_matches(q, {G.literal(p)})" for p in X.SHAPES) + f") AND id >= 6 AS on_llm, FALSE AS on_off FROM {G.QUERIES.sql}")
+@query("c4_rerank_gate", "SELECT id, NOT (" + " OR ".join(f"regexp_matches(q, {G.literal(p)})" for p in fixed.SHAPES) + f") AND id >= 6 AS on_llm, FALSE AS on_off FROM {G.QUERIES.sql}")
 def c4(s, d):
     g = lambda name: search.reranks(F.lit(name), F.col("q"), F.col("id"))
     return G.QUERIES.frame(s).select("id", g("Llm").alias("on_llm"), g("Off").alias("on_off"))

@@ -73,7 +73,7 @@ def p8(s, d):
     return bind.read(s, d, "benchmark").select("item_id", F.array_sort(X.query_terms(F.col("text"))).alias("terms"))
 
 
-@query("p9_query_shape", "SELECT id, " + " OR ".join(f"regexp_matches(q, {G.literal(p)})" for p in X.SHAPES) + f" AS identifier FROM {G.QUERIES.sql}")
+@query("p9_query_shape", "SELECT id, " + " OR ".join(f"regexp_matches(q, {G.literal(p)})" for p in fixed.SHAPES) + f" AS identifier FROM {G.QUERIES.sql}")
 def p9(s, d):
     return G.QUERIES.frame(s).select("id", X.query_shape(F.col("q")).alias("identifier"))
 
