@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import url as U
-from .store import cut
+from ..session import cut
 
 
 def resolved_links(links: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import chunking
+from ..session import cut, drop_folder, shared_folder
 from ..sources import bind
 from ..streaming import ingest
 from . import fixtures as G
@@ -21,7 +22,7 @@ PAGES = [
 ]
 
 
-def cut(s, categories):
+def given(s, categories):
     f = s.createDataFrame([("l", "1", u, "T", c, t) for u, c, t in PAGES], "library_id string, version string, url string, title string, category string, raw_content string")
     return chunking.chunk_pages(f.where(F.col("category").isin(categories))).select("page_url", "section_path", F.length("content").alias("n"))
 
@@ -32,40 +33,44 @@ def expected(rows):
 
 @query("t2_heading_split", expected([("u/1", "T", 5), ("u/1", "T > One", 4), ("u/1", "T > Two", 4), ("u/2", "T", 5)]))
 def t2(s, d):
-    return cut(s, ["HowTo"])
+    return given(s, ["HowTo"])
 
 
 @query("t3_version_split", expected([("u/3", "T > ## v1", 9), ("u/3", "T > ## Version 2", 14), ("u/4", "T > Notes", 1)]))
 def t3(s, d):
-    return cut(s, ["ChangeLog"])
+    return given(s, ["ChangeLog"])
 
 
 # two paragraphs fit a pack of 800 tokens; a pack is then over 2400 characters and cut at its last line end in the back half
 @query("t4_paragraph_pack", expected([("u/5", "T (part 1)", 1500), ("u/5", "T (part 1)", 1500), ("u/5", "T (part 2)", 1500), ("u/5", "T (part 2)", 1500), ("u/6", "T", 4)]))
 def t4(s, d):
-    return cut(s, ["Sample", "Code"])
+    return given(s, ["Sample", "Code"])
 
 
-def streamed(s, d):
-    """All pages, written as files and ingested in micro-batches of two files; the folder of the results."""
-    base = (s.conf.get("spark.checkpoint.dir", None) or "/tmp/lexweave-checkpoints").rstrip("/")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+def streamed(s, d, result):
+    """What ``result`` makes of the folder that all pages, written as files, were ingested to in micro-batches of two files."""
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     bind.pages(s, d).drop("doc_id", "lang").repartition(6).write.parquet(f"{folder}/pages")
     q = ingest.ingest(ingest.page_stream(s, f"{folder}/pages", 2), f"{folder}/out", f"{folder}/log")
     q.awaitTermination()
-    return f"{folder}/out"
+    out = cut(result(f"{folder}/out"))
+    drop_folder(s, folder)
+    return out
 
 
 @query("w1_five_stage_pipeline")
 def w1(s, d):
     """Chunks and postings of every library, from the stream."""
-    out = streamed(s, d)
-    c = ingest.table(s, out, "chunks").groupBy("library_id").agg(F.count("*").alias("chunks"))
-    p = ingest.table(s, out, "postings").groupBy("library_id").agg(F.sum("term_frequency").alias("tokens"))
-    return c.join(p, "library_id")
+
+    def result(out):
+        c = ingest.table(s, out, "chunks").groupBy("library_id").agg(F.count("*").alias("chunks"))
+        p = ingest.table(s, out, "postings").groupBy("library_id").agg(F.sum("term_frequency").alias("tokens"))
+        return c.join(p, "library_id")
+
+    return streamed(s, d, result)
 
 
 @query("w11_progress_counters", "SELECT CAST(count(*) AS BIGINT) AS pages, CAST(0 AS BIGINT) AS errors FROM pages_t")
 def w11(s, d):
     """Pages and errors over all micro-batches."""
-    return ingest.table(s, streamed(s, d), "progress").agg(F.sum("pages").alias("pages"), F.sum("errors").alias("errors"))
+    return streamed(s, d, lambda out: ingest.table(s, out, "progress").agg(F.sum("pages").alias("pages"), F.sum("errors").alias("errors")))
