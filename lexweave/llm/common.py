@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut, spread  # noqa: F401  (the operators take cut from here)
+
 #: Java/RE2 pattern of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the word tools hold at a time.
@@ -21,20 +23,7 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder, which cuts its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without
-    one (tests) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexweave-checkpoints")
-    return df.checkpoint()
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.SQL,
-    "op5_tokens": tokens.SQL,
     "op9_embedding": embedding.SQL,
     "op10_substring": substring.SQL,
 }

@@ -5,12 +5,22 @@ change is an insert (+1 document, +tokens), a delete (-1, -tokens) or a revision
 (0, new - old).  A batch of changes is rolled up first, then committed under its id:
 one folder of the store per batch, written whole, and valid once its ``_SUCCESS``
 mark stands.  A batch that was committed is not applied again; one that broke off
-leaves no mark, is not read, and is overwritten by its next try.  ``compact`` folds
-committed batches into one, keeping their ids.
+leaves no mark, is not read, and is overwritten by its next try.
 
-The store lies below the session's ``spark.checkpoint.dir`` or a path of one's own;
-it holds a row per source, language and version for each batch, however many
-documents a batch changes, and a hot source is combined map-side.
+``compact`` folds committed batches into a generation: a folder of totals and a table
+of the ids that are in them, valid once its ``_COMMITTED`` mark stands, which is made
+last.  Readers take the latest valid generation and those batches whose ids it does
+not hold, so a driver lost at any step, also between the mark and the deletes, leaves
+the totals as they were; the next ``compact`` sweeps up what was left.  One writer
+at a time is assumed.
+
+The store lies below the session's shared folder or a path of one's own; it holds
+a row per source, language and version for each batch, however many documents a batch
+changes, and a hot source is combined map-side.  The driver lists folders; ids
+and totals stay in tables.
+
+``counted`` adds the number of tokens of a text under each of several rank files that
+share one pre-token pattern: texts are cut once, whole, and a pre-token is encoded once.
 
 Null source, language or version is a group of its own.  A null or empty text has 0
 tokens and still counts as a document.  A change with an unknown or null kind raises
@@ -22,14 +32,20 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_folder, shared_folder
+from .bpe import CACHE, codec
 from .common import WORD, cut, table
 
 KEYS = ("source", "lang", "tokenizer")
-SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
+SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
+MARK = "_COMMITTED"
 
 
 def changes(df: DataFrame, kind: str, tokenizer: str, tokens: Column, old: Column | None = None, source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -51,8 +67,7 @@ class Rollup:
     """A store of committed batches; see the module's description."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexweave-checkpoints"
-        self.spark, self.path = spark, path or f"{base.rstrip('/')}/token-rollup-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}"
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -62,95 +77,139 @@ class Rollup:
             raise ValueError(f"not a batch id: {batch!r}")
         return f"{self.path}/batch-{batch}"
 
-    def _committed(self, folder: str) -> bool:
-        return self._fs.exists(self._path(f"{folder}/_SUCCESS"))
+    def _has(self, file: str) -> bool:
+        return self._fs.exists(self._path(file))
 
-    def folders(self) -> list[str]:
-        """Folders of committed batches, by name."""
+    def _names(self) -> list[str]:
         root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        found = [f"{self.path}/{s.getPath().getName()}" for s in self._fs.listStatus(root)]
-        return sorted(f for f in found if self._committed(f))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
+
+    def generation(self) -> str | None:
+        """Folder of the latest valid generation."""
+        found = [n for n in self._names() if n.startswith("compact-") and self._has(f"{self.path}/{n}/{MARK}")]
+        return f"{self.path}/{found[-1]}" if found else None
 
-    def batches(self) -> DataFrame:
-        """Every committed delta with its batch id."""
-        found = self.folders()
-        return self.spark.read.schema(SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], SCHEMA)
+    def _folded(self, batches: list[str]) -> set[str]:
+        """Which of the batches the latest generation holds; as many ids as are asked for, at most."""
+        now = self.generation()
+        if not now or not batches:
+            return set()
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{now}/ids").where(F.col("batch").isin(batches)).distinct().collect()}
+
+    def folders(self) -> list[str]:
+        """Folders of committed batches that no generation holds, by name."""
+        found = [n.removeprefix("batch-") for n in self._names() if n.startswith("batch-") and self._has(f"{self.path}/{n}/_SUCCESS")]
+        gone = self._folded(found)
+        return [self._folder(b) for b in found if b not in gone]
 
     def apply(self, batch: str, rows: DataFrame) -> bool:
         """Commit a batch of changes; False if its id was committed before."""
         folder = self._folder(batch)
-        if self._committed(folder) or self._folded(batch):
+        if self._has(f"{folder}/_SUCCESS") or self._folded([batch]):
             return False
-        deltas(rows).withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").parquet(folder)
+        deltas(rows).write.mode("overwrite").parquet(folder)
         return True
 
-    def _folded(self, batch: str) -> bool:
-        marks = [f for f in self.folders() if "/compact-" in f]
-        return bool(marks) and not self.spark.read.schema(SCHEMA).parquet(*marks).where(F.col("batch").contains(f"|{batch}|")).isEmpty()
-
     def totals(self) -> DataFrame:
         """The additive totals: one row per key with any document or token."""
-        return self.batches().where("tokenizer is not null or source is not null or docs <> 0 or tokens <> 0").groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        now, found = self.generation(), self.folders()
+        parts = [f"{now}/totals"] * bool(now) + found
+        rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into one folder that remembers their ids.
-
-        The new folder is written beside them and the old ones go only after it is
-        complete; readers between the two steps are to be kept out by the caller.
-        """
-        found = self.folders()
-        if len(found) < 2:
-            return
-        ids = set()
-        for r in self.batches().select("batch").distinct().collect():  # one short row per batch
-            ids |= {x for x in r.batch.split("|") if x}
-        ids |= {f.rpartition("/batch-")[2] for f in found if "/batch-" in f}
-        mark = "|" + "|".join(sorted(ids)) + "|"
-        total = self.totals().withColumn("batch", F.lit(mark))
-        total = total.unionByName(self.spark.createDataFrame([(None, None, None, 0, 0, mark)], SCHEMA))
-        total.coalesce(1).write.parquet(f"{self.path}/compact-{uuid.uuid4().hex}")
-        for f in found:
-            self._fs.delete(self._path(f), True)
-
-
-#: Patterns of the query's tokenizer versions, alike in Java and RE2.
-UNITS = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]"
+        """Fold all committed batches into a new generation, then delete what it holds."""
+        before, found = self.generation(), self.folders()
+        if found:
+            new = f"{self.path}/compact-{int(before.rpartition('-')[2]) + 1 if before else 0:012d}"
+            self._fs.delete(self._path(new), True)
+            self.totals().write.parquet(f"{new}/totals")
+            ids = self.spark.createDataFrame([(f.rpartition("/batch-")[2],) for f in found], "batch string")
+            if before:
+                ids = ids.unionByName(self.spark.read.schema("batch string").parquet(f"{before}/ids"))
+            ids.write.parquet(f"{new}/ids")
+            self._fs.create(self._path(f"{new}/{MARK}"), True).close()
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Delete batches that the latest generation holds, and older or broken generations."""
+        now, live = self.generation(), {f.rpartition("/")[2] for f in self.folders()}
+        for n in self._names():
+            done = n.startswith("batch-") and n not in live and self._has(f"{self.path}/{n}/_SUCCESS")
+            if done or (now and n.startswith("compact-") and n != now.rpartition("/")[2]):
+                self._fs.delete(self._path(f"{self.path}/{n}"), True)
+
+    def drop(self) -> None:
+        """Delete the store."""
+        drop_folder(self.spark, self.path)
+
+
+def counted(df: DataFrame, versions: dict[str, tuple[str, str]], text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, and for each version (name: rank file, pattern) a column of that name with a text's tokens."""
+    fields = [df.schema[c] for c in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{v}` long" for v in versions])
+    if len({p for _, p in versions.values()}) != 1:
+        raise ValueError("versions are counted together if they share a pattern")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs = [codec(path, pattern) for path, pattern in versions.values()]
+        find = codecs[0].find
+        known: dict[str, tuple[int, ...]] = {}
+        for big in batches:
+            for start in range(0, big.num_rows, 512):
+                batch = big.slice(start, 512)
+                sums: list[list[int]] = [[] for _ in codecs]
+                for text in batch.column(len(keep)):
+                    now = [0] * len(codecs)
+                    for token, times in Counter(find(text.as_py() or "")).items():
+                        each = known.get(token)
+                        if each is None:
+                            each = tuple(len(c.pre_token(token)) for c in codecs)
+                            if len(known) >= CACHE:
+                                known.clear()
+                            if len(token) <= 64:
+                                known[token] = each
+                        for k, n in enumerate(each):
+                            now[k] += n * times
+                    for k, n in enumerate(now):
+                        sums[k].append(n)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in sums)], names=[*keep, *versions])
+
+    return df.select(*keep, text_col).mapInArrow(run, schema)
+
+
+def query_versions() -> dict[str, tuple[str, str]]:
+    """The query's tokenizer versions: two public byte-level rank files with one pattern."""
+    import public_tokenizers
+
+    return {name: (public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents after inserts, a revision, deletes and replays.
 
-    1 and 2: every document under two tokenizer versions.  3: the second version is
-    revised, every run of signs now being one token.  4: further copies of a text
-    leave the first version.  5: batches 2 and 4 come again and change nothing.
+    1 and 2: every document under two tokenizer versions, the second by its number of words, as
+    a first estimate.  3: the second is revised to its real count.  4: further copies of a
+    text leave the first version.  5: the batches are folded.  6: batches 2 and 4 come again and change nothing.
     """
+    one, two = versions = query_versions()
     docs = table(spark, sf_dir, "documents")
-    n = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
-    rows = cut(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), n(WORD).alias("words"), n(UNITS).alias("units"), n(UNITS + "+").alias("runs")))
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    text = F.col("text")
+    given = docs.select("doc_id", "source", "lang", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("words"), "text")
+    rows = cut(counted(given, versions, keep=("doc_id", "source", "lang", "h1", "h2", "words")))
+    # copies are few rows or many of one text: their first id comes back by a join that may split a hot text
+    first = cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
     again = rows.join(first, ["h1", "h2"]).where("doc_id > first")
     store = Rollup(spark)
-    store.apply("0001", changes(rows, "insert", "words-1", F.col("words")))
-    second = changes(rows, "insert", "units-1", F.col("units"))
+    store.apply("0001", changes(rows, "insert", one, F.col(one)))
+    second = changes(rows, "insert", two, F.col("words"))
     store.apply("0002", second)
-    store.apply("0003", changes(rows, "revise", "units-1", F.col("runs"), F.col("units")))
-    gone = changes(again, "delete", "words-1", F.col("words"))
+    store.apply("0003", changes(rows, "revise", two, F.col(two), F.col("words")))
+    gone = changes(again, "delete", one, F.col(one))
     store.apply("0004", gone)
+    store.compact()
     store.apply("0002", second)
     store.apply("0004", gone)
-    return store.totals()
-
-
-SQL = r"""
-WITH d AS (
-  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-    len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]+')) AS runs,
-    doc_id > min(doc_id) OVER (PARTITION BY text) AS again
-  FROM documents
-)
-SELECT source, lang, 'words-1' AS tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(words) AS BIGINT) AS tokens FROM d WHERE NOT coalesce(again, false) GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'units-1', CAST(count(*) AS BIGINT), CAST(sum(runs) AS BIGINT) FROM d GROUP BY ALL
-"""
+    totals = cut(store.totals())
+    store.drop()
+    return totals
