@@ -10,11 +10,14 @@ probabilities.
 
 A feature is a word (run of letters, lower case) or the first 4 to 7 letters of
 a longer word; its value is its count over the fourth root of the number of words.
-Features are chosen by how much more often they occur in P than in U.
+A feature is used if it occurs in more of P's texts than chance would have it, given
+the share of all texts of the table that have it; none is cut off.  Prior and shares are
+counted over all rows that may be learned from.
 
-Only ids, texts and confirmed labels are read.  The training sample is bounded:
-at most ``most_positive`` confirmed and ``most_unlabelled`` other texts, those
-least by a hash of the id, whole.  All texts are scored, whole.
+Only ids, texts and labels are read.  What the risk is computed on is a sample of labelled
+rows, those least by a hash of the id, whole: P is at most ``most_positive`` confirmed
+toxic ones; U is at most ``most_labelled`` of either label, whose labels are withheld,
+so that they stand for texts without one.  All texts are scored, whole.
 
 Null and empty texts score what no feature scores.  Repeated rows score alike.
 Labels that are null don't count; an id with several labels is toxic if one
@@ -42,8 +45,8 @@ PREFIXES = (4, 5, 6, 7)
 #: Counts are divided by this power of the number of words: long texts may say a bad word by chance.
 POWER = 0.25
 BAGS = 3
-#: Bounds of the training sample and of the features.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4_000, 12_000, 5_000
+#: Bounds of the training sample, in labelled rows.
+MOST_POSITIVE, MOST_LABELLED = 4_000, 12_000
 LEAST_COUNT, LEAST_Z = 3, 4.0
 
 
@@ -126,7 +129,7 @@ def nnpu(p: tuple[np.ndarray, np.ndarray, np.ndarray, int], u: tuple[np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn: Column | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn: Column | None = None, most_positive: int = MOST_POSITIVE, most_labelled: int = MOST_LABELLED) -> Model:
     """Fit on rows where ``may_learn`` (of the id column) holds; the sample is bounded as documented above."""
     may_learn = F.lit(True) if may_learn is None else may_learn
     order = F.xxhash64(F.lit(7), F.col("id"))
@@ -137,33 +140,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model({}, (), 0.0)
     prior = min(0.9, toxic / n)
     chosen = given.where("y > 0").orderBy(order, "id").limit(most_positive).select("id", F.lit(1).alias("p"))
-    others = docs.where(may_learn).select(F.col(id_col).alias("id")).where("id is not null").orderBy(order, "id").limit(most_unlabelled).select("id", F.lit(0).alias("p"))
-    # at most most_positive + most_unlabelled ids
+    others = given.orderBy(order, "id").limit(most_labelled).select("id", F.lit(0).alias("p"))
+    # at most most_positive + most_labelled ids
     ids = F.broadcast(chosen.unionByName(others).groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u")))
-    sample = cut(docs.where(may_learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("id", "text", "p", (F.col("u") == 0).alias("u")).repartition(24, "id"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_p, in_u = Counter(), Counter()
-        for batch in batches:
-            for text, p, u in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                found = text_counts(text.as_py())[0].keys()
-                if p.as_py():
-                    in_p.update(found)
-                if u.as_py():
-                    in_u.update(found)
-        keep = list(in_p)
-        rest = [f for f in in_u if f not in in_p]
-        yield pa.RecordBatch.from_arrays([pa.array(keep + rest, pa.string()), pa.array([in_p[f] for f in keep] + [0] * len(rest), pa.int64()), pa.array([in_u[f] for f in keep + rest], pa.int64())], names=["f", "np", "nu"])
-
-    counts = sample.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first()
-    n_p, n_u = (int(x or 0) for x in counts)
+    learnable_docs = docs.where(may_learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = cut(learnable_docs.join(ids, "id").select("id", "text", "p", (F.col("u") == 0).alias("u")).repartition(24, "id"))
+    n_p, n_u = (int(x or 0) for x in sample.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first())
     if not n_p or not n_u:
         return Model({}, (), 0.0)
-    rate_p, rate_u = F.col("np") / n_p, F.col("nu") / n_u
-    mean = (F.col("np") + F.col("nu")) / (n_p + n_u)
-    z = (rate_p - rate_u) / F.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
-    stats = sample.mapInArrow(count, "f string, np long, nu long").groupBy("f").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
-    names = [r.f for r in stats.where(F.col("np") >= LEAST_COUNT).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MOST_FEATURES).select("f").collect()]
+
+    def in_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                found.update(text_counts(text.as_py())[0].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["f", "n"])
+
+    # what at most most_positive texts hold
+    often = sample.where("p = 1").select("text").mapInArrow(in_positives, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy("f").toArrow()
+    names, np_ = often["f"].to_pylist(), often["n"].to_numpy()
+    if not names:
+        return Model({}, (), prior)
+    in_all, total = document_frequencies(learnable_docs, names)
+    mean = (np_ + in_all) / (n_p + total)
+    z = (np_ / n_p - in_all / total) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / total) + 1e-12)
+    names = [f for f, x in zip(names, z, strict=True) if x >= LEAST_Z]
     if not names:
         return Model({}, (), prior)
     place = {f: i for i, f in enumerate(names)}
@@ -198,10 +199,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(weights, tuple(b for _, b in made), prior)
 
 
+def document_frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
+    """How many of all texts have each of the features, and how many texts there are; docs: (id, text)."""
+    place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # of a bounded sample of texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = place.value
+        found, n = np.zeros(len(at), dtype=np.int64), 0
+        of: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch.column(0):
+                hit: set[int] = set()
+                for word in set(WORDS((text.as_py() or "").lower())):
+                    which = of.get(word)
+                    if which is None:
+                        if len(of) > 200_000:
+                            of.clear()
+                        which = of[word] = tuple(at[f] for f in features(word) if f in at)
+                    hit.update(which)
+                found[list(hit)] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(found[some], n))], names=["i", "n"])
+
+    got = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out, total = np.zeros(len(names), dtype=np.int64), 0
+    for i, n in zip(got["i"].to_pylist(), got["n"].to_pylist(), strict=True):
+        if i < 0:
+            total = n
+        else:
+            out[i] = n
+    return out, total
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` by id and text, with ``score`` and ``predicted``; columns id, text, score, predicted."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of what a bounded sample of texts holds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
