@@ -7,8 +7,8 @@ documents with probabilities p, q and sizes m, n meet; mass moves from one to
 the other, so that p*m + q*n stays the same, until one of them is integral; which
 way it moves is drawn so that both probabilities are kept in expectation.  The
 other one goes on with what is left.  Only the very last document of a source
-is rounded alone, to the nearer of 0 and 1, so a source's words miss its target
-by half of that one document at most.
+is rounded alone, by a draw that keeps its probability, so a source's words miss its
+target by less than that one document.
 
 The meetings form a reduction tree.  Documents fall into chunks of about
 ``CHUNK`` by a hash; a chunk is folded to its one residual; the residuals of
@@ -111,7 +111,7 @@ def round_copies(items: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFra
         if width <= 1:
             break
         width, step = -(-width // chunk), step + 1
-    last = level.select("k1", "k2", (F.col("p") >= 0.5).alias("up"))
+    last = level.select("k1", "k2", (draw(seed + step + 1, F.col("k1"), F.col("k2")) < F.col("p")).alias("up"))
     return decided.unionByName(last)
 
 
