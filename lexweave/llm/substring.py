@@ -12,7 +12,10 @@ anchors only at cover positions (5 of 21) still meets every repeated window.
    counted.  A window counted twice covers its words.
 Rows with equal texts form one class that is hashed once; its words, if it has
 a window and two rows or more, are all repeated.  Counting is by hash, so a
-passage that a third of all rows share costs a row per place, never a pair.
+passage that a third of all rows share costs a row per place, never a pair.  A task
+combines what it has before the shuffle: places whose repetition it sees itself are
+known, are dealt out evenly, and leave one or two rows that speak for them, so
+a hot anchor or window is at most two rows for each ``MOST_HELD`` of a task.
 
 Null and empty texts have no words.  Rows that repeat are places of their own.
 Null or repeated ids are fine: rows are told apart by id and text.  An empty
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import Words, cut, mix64, run_hash, slices, table, text_buffers
 
 LENGTH = 35
+#: Anchors or windows that a task holds to combine them.
+MOST_HELD = 1 << 20
 #: A perfect difference cover modulo 21: every difference occurs.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
@@ -48,20 +53,65 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("k2")]
 
 
+def held_together(parts: Iterator[tuple[np.ndarray, ...]], most: int = MOST_HELD) -> Iterator[tuple[np.ndarray, ...]]:
+    """The parts' columns, strung together until there are ``most`` rows."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for part in parts:
+        kept.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+            kept, n = [], 0
+    if kept:
+        yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+
+def combined(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, k, n) of a task's anchors: places of one text are one row, n of them.
+
+    An anchor that the task has in several texts has a row of n = 0 for each, known to be
+    repeated in another text, and rows of n = 2 for its least and greatest k, for other tasks.
+    """
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    new_h = np.ones(len(h), dtype=bool)
+    new_h[1:] = h[1:] != h[:-1]
+    new = new_h.copy()
+    new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(h)))
+    h, k, new_h = h[at], k[at], new_h[at]
+    first = np.flatnonzero(new_h)
+    size = np.diff(np.append(first, len(h)))
+    many = size > 1
+    n[np.repeat(many, size)] = 0
+    low, high = first[many], first[many] + size[many] - 1
+    both = np.concatenate((low, high))
+    return np.concatenate((h, h[both])), np.concatenate((k, k[both])), np.concatenate((n, np.full(len(both), 2)))
+
+
 def anchors(texts: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """(h, k) of every anchor of texts of at least ``length`` words; texts: (k, text)."""
+    """(h, k, n) of the anchors of texts of at least ``length`` words, combined by task; texts: (k, text)."""
     size = check_cover(length, period, cover)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 w = Words(data, offsets[i : j + 1])
                 at = at_cover(w, length, period, cover, size)
-                yield pa.RecordBatch.from_arrays([pa.array(run_hash(w.hash[0], at, size, 21).view(np.int64)), pa.array(keys[i:j][w.row[at]])], names=["h", "k"])
+                yield run_hash(w.hash[0], at, size, 21).view(np.int64), keys[i:j][w.row[at]]
 
-    return texts.mapInArrow(run, "h long, k long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in held_together(found(batches)):
+            h, k, n = combined(*held)
+            for low in range(0, len(h), 200_000):
+                part = slice(low, low + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(k[part]), pa.array(n[part].astype(np.int32))], names=["h", "k", "n"])
+
+    return texts.mapInArrow(run, "h long, k long, n int")
 
 
 def squeezed(texts: DataFrame) -> DataFrame:
@@ -94,10 +144,14 @@ def at_cover(w: Words, length: int, period: int, cover: tuple[int, ...], size: i
 
 
 def windows(texts: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """(w1, w2, row, pos) of the windows that hold a repeated anchor; texts: (row, text, anchors)."""
+    """(w1, w2, row, pos) of the windows that hold a repeated anchor, combined by task; texts: (row, text, anchors).
+
+    Windows that the task has twice are known to be repeated: their places have a null w2 and a w1 of
+    their own, and a row without a place stands for each of them twice in other tasks' eyes.
+    """
     size = check_cover(length, period, cover)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in (big.slice(k, 512) for big in batches for k in range(0, big.num_rows, 512)):
             data, offsets = text_buffers(unsqueezed(batch.column(1)))
             rows = batch.column(0).to_numpy(zero_copy_only=False)
@@ -119,7 +173,24 @@ def windows(texts: DataFrame, length: int, period: int, cover: tuple[int, ...])
                 start = np.flatnonzero(np.cumsum(step)[:-1] > 0)
                 r = w.row[start]
                 second = (run_hash(w.hash[1], start, length, 32) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(run_hash(w.hash[0], start, length, 31).view(np.int64)), pa.array(second), pa.array(rows[i:j][r]), pa.array((start - w.begin[r]).astype(np.int32))], names=["w1", "w2", "row", "pos"])
+                yield run_hash(w.hash[0], start, length, 31).view(np.int64), second, rows[i:j][r], (start - w.begin[r]).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w1, w2, row, pos in held_together(found(batches)):
+            order = np.lexsort((w2, w1))
+            w1, w2, row, pos = w1[order], w2[order], row[order], pos[order]
+            new = np.ones(len(w1), dtype=bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(w1)))
+            again = np.repeat(times > 1, times)
+            for part in np.array_split(np.arange(len(w1)), max(1, len(w1) // 200_000)):
+                known = again[part]
+                own = np.where(known, mix64(row[part].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos[part].astype(np.uint64)).view(np.int64), w1[part])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(w2[part], mask=known), pa.array(row[part]), pa.array(pos[part])], names=["w1", "w2", "row", "pos"])
+            at = at[times > 1]
+            none = np.ones(len(at), dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(w1[at]), pa.array(w2[at]), pa.array(row[at], mask=none), pa.array(pos[at], mask=none)], names=["w1", "w2", "row", "pos"])
 
     return texts.mapInArrow(run, "w1 long, w2 int, row long, pos int")
 
@@ -133,9 +204,14 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     # 40 bits deal out anchors; texts that share them only share candidates
     rows = rows.withColumn("k", F.shiftrightunsigned("k1", 24))
     classes = cut(rows.where("text <> ''").groupBy("k", "k1", "k2").agg(F.count("*").alias("n"), F.min("own").alias("rep")).where("n > 1"))
-    found = anchors(rows.select("k", "text"), length, period, cover)
-    by = Window.partitionBy("h")
-    twice = found.withColumn("n", F.count("*").over(by)).withColumn("far", F.min("k").over(by) != F.max("k").over(by)).where("n > 1")
+    # a known anchor is dealt by itself and its text, an anchor to count by itself alone
+    hidden = F.when(F.col("n") == 0, F.col("h").bitwiseXOR(F.xxhash64("k"))).otherwise(F.col("h"))
+    found = anchors(rows.select("k", "text"), length, period, cover).withColumn("g", hidden).select("g", "k", "n")
+    by = Window.partitionBy("g")
+    known = F.col("n") == 0
+    count, low, high = (f(F.when(~known, F.col(c))).over(by) for f, c in ((F.sum, "n"), (F.min, "k"), (F.max, "k")))
+    twice = found.withColumn("far", known | (low != high)).withColumn("c", F.coalesce(count, F.lit(0))).where(known | (F.col("c") > 1))
+    twice = twice.select(F.when(F.col("n") == 0, F.col("g").bitwiseXOR(F.xxhash64("k"))).otherwise(F.col("g")).alias("h"), "k", "far")
     # far: in another text as well; near: only in one text or its copies
     places = twice.groupBy("k").agg(F.collect_set(F.when(F.col("far"), F.col("h"))).alias("far"), F.collect_set(F.when(~F.col("far"), F.col("h"))).alias("near"))
     places = cut(places.join(classes.groupBy("k").agg(F.collect_list(F.struct("k1", "k2", "rep")).alias("classes")), "k", "left"))
@@ -146,7 +222,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     held = held.select("k1", "k2", "text", "anchors", F.col("class").isNotNull().alias("many"), F.monotonically_increasing_id().alias("row"))
     texts = cut(held)
     judged = windows(texts.select("row", "text", "anchors"), length, period, cover)
-    again = judged.withColumn("c", F.count("*").over(Window.partitionBy("w1", "w2"))).where("c > 1")
+    again = judged.withColumn("c", F.count("*").over(Window.partitionBy("w1", "w2"))).where("row is not null and (w2 is null or c > 1)")
     starts = again.groupBy("row").agg(F.collect_set("pos").alias("starts"))
     return classes.select("k1", "k2"), texts.where("not many").select("row", "k1", "k2", "text").join(starts, "row").select("k1", "k2", "text", "starts")
 
