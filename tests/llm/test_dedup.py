@@ -108,6 +108,22 @@ def test_first_shared_band_is_one_of_keys(spark, docs):
     assert pairs and got == brute_near(rows, 1)
 
 
+def test_repeated_ids_are_one_document(spark, docs):
+    """Rows of one id with several texts join what each of them links with."""
+    texts = copies(9, 6, 5, 60, 4) + ["", None]
+    r = random.Random(10)
+    rows = [(r.randrange(14), t) for t in texts for _ in range(2)] + [(20, "p q r s t"), (21, "p q r s t"), (21, "other words stand here now"), (22, "other words stand here now"), (21, "")]
+    rows += rows[:3]
+    got = [tuple(x) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()]
+    each = brute_near([(k, t) for k, (_, t) in enumerate(rows)], 4)
+    ids = {i for i, _ in rows}
+    root = reach(ids, [(rows[k][0], rows[v[2]][0]) for k, v in each.items()])
+    want = [(i, each[k][1], root[i], root[i] == i) for k, (i, _) in enumerate(rows)]
+    assert sorted(got) == sorted(want)
+    named = spark.createDataFrame([(f"d{i:02}", t) for i, t in rows], "doc_id string, text string")
+    assert sorted((x[0], x[2]) for x in minhash.near_duplicates(named, words=4).collect()) == sorted((f"d{i:02}", f"d{c:02}") for i, _, c, _ in want)
+
+
 def test_near_duplicate_rows(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
     twice = docs(["a b c d e f g", None]).unionByName(docs(["a b c d e f g"]))
@@ -222,14 +238,16 @@ def test_no_vectors(spark):
     assert [tuple(r) for r in embedding.near_vectors(null).collect()] == [(None, 0, None, True)] * 2
 
 
-def test_tables_meet_at_the_bound():
+@pytest.mark.parametrize("d", [2, 16, 64, 300, 1024])
+def test_tables_meet_at_the_bound(d):
     r = np.random.default_rng(7)
-    a = r.standard_normal((3000, 64))
+    n = 3000 if d <= 64 else 800
+    a = r.standard_normal((n, d))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    z = r.standard_normal((3000, 64))
+    z = r.standard_normal((n, d))
     z -= (z * a).sum(1, keepdims=True) * a
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * z
     x, y = embedding.buckets(a), embedding.buckets(b)
     meets = np.stack([(x[:, t] == y[:, t, :1]).any(1) | (y[:, t] == x[:, t, :1]).any(1) for t in range(embedding.TABLES)], 1)
-    assert meets.mean() > 0.98 and meets.any(1).all()
+    assert meets.mean() > (0.98 if d == 64 else 0.95) and meets.any(1).all()

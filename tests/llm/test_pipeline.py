@@ -47,8 +47,18 @@ def test_empty_and_odd(spark, sf, tmp_path):
         stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() == 0
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "text a", "en", "s", 6), (2, "", None, "s", 0), (3, "text b", "en", "s", 6), (3, "text b", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = odd
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "text a", "en", "s", 6), (2, "", None, "s", 0), (3, "text b", "en", "s", 6), (3, "text b", "en", "s", 6), (3, "quite another text", "en", "s", 18)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs, seen = odd, []
     for k, (_, stage) in enumerate(pipeline.STAGES):
         stage(spark, docs, sf).write.parquet(str(tmp_path / f"odd{k}"))
         docs = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        seen.append(sorted((str(r.doc_id), *(str(r[c]) for c in ("text", "n_chars") if c in docs.columns)) for r in docs.collect()))
+    given = sorted((str(r.doc_id), str(r.text), str(r.n_chars)) for r in odd.collect())
+    once = sorted(set(given))
+    assert seen[0] == given
+    # of two equal rows one stays; an id's other text is another document
+    assert seen[1] == once
+    assert [(i, t) for i, t, _ in seen[2]] == [(i, t) for i, t, _ in once]
+    # one source holds all words, so every text is taken once and texts without words never
+    assert [(i, t) for i, t, _ in seen[3]] == [(i, t) for i, t, _ in once if t not in ("None", "")]
+    assert [i for i, in seen[4]] == [i for i, *_ in seen[3]]
