@@ -2,7 +2,7 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``.  A runner writes a stage's
 result as Parquet and rereads it as the next one's ``docs``; ``run`` does so in the
-shared folder of the session.  All stages but the last return the columns of
+shared folder of the session, where only what the last stage reads stays.  All stages but the last return the columns of
 ``documents``.  What a stage does with nulls, empty texts, ties and repeated rows
 is what its operator says; no stage looks at other columns than it names.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, minhash, mixing, substring, toxicity
 from lexweave.llm.common import table
+from lexweave.session import drop_folder, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the least id; of rows that repeat an id the least.
+    """One document of each near-duplicate group, that of the least id.
 
-    Shingles of five words, similarity 0.8 or more.  Rows without an id stay.
+    Shingles of five words, similarity 0.8 or more.  A document is an id and a text here, so rows
+    that repeat an id go only if their texts are near copies; of rows with equal id and text
+    the least by the other columns stays.  Rows without an id are documents like others, the least.
     """
-    found = minhash.near_duplicates(docs, words=5)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    held = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    held = held.withColumn("lexweave_n", F.row_number().over(order)).where("lexweave_n = 1").drop("lexweave_n")
-    return held.unionByName(docs.where("doc_id is null"))
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    kept = minhash.near_duplicates(rows, "key", "text", words=5).where("kept").select("key").distinct()
+    held = rows.select("key", "row").join(kept, "key", "left_semi")
+    order = Window.partitionBy("key").orderBy(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    return held.withColumn("n", F.row_number().over(order)).where("n = 1").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +70,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and reread in the shared folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexweave-checkpoints").rstrip("/")
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
