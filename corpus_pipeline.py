@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     kept = minhash.near_duplicates(rows, "key", "text", words=5).where("kept").select("key").distinct()
     held = rows.select("key", "row").join(kept, "key", "left_semi")
-    order = Window.partitionBy("key").orderBy(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    order = Window.partitionBy("key").orderBy("key", *[F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
     return held.withColumn("n", F.row_number().over(order)).where("n = 1").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
