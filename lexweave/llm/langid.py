@@ -1,18 +1,20 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 Each language has a probability for every piece of a fixed public vocabulary (the
-byte strings of a rank file).  A word's probability is the sum, over all ways to
-cut it into pieces, of the product of their probabilities; the forward algorithm
-adds them up from left to right.  A text's likelihood is the product over its
-words, its score the posterior of the best language under equal priors.
+byte strings of a rank file, all of them).  A word's probability is the sum, over all
+ways to cut it into pieces, of the product of their probabilities; the forward
+algorithm adds them up from left to right, scaled by word and language, so that words
+of any length are summed whole.  A text's likelihood is the product over its words, its
+score the posterior of the best language under equal priors.
 
 Piece probabilities are learned by expectation maximisation: forward and backward
 sums give each piece's expected count in a language's words.  The sample is
-bounded by ``most_docs`` whole texts per language, least by a hash of the id.
+bounded by ``most_docs`` whole texts per language, least by a hash of the id; to learn
+only, words of over ``PART`` bytes are cut into parts of that many.
 
-A word is a run of ASCII letters and non-ASCII bytes of the lower-cased text,
-with a space before it; a run of over ``LONGEST`` bytes is cut into parts.  Words
-are scored once per distinct word and slice, as numpy columns.
+The text is lower-cased.  A word is a run of ASCII letters and non-ASCII bytes, with a
+space before it; runs of digits and of other signs are words too, so every byte but
+white space is scored.  Words are scored once per distinct word and slice, as numpy columns.
 
 ``und``, with score 0, is given to null texts and texts without a letter, and to
 all if no labelled row can be learned from.  Ties go to the language first in
@@ -22,7 +24,6 @@ text (and, to learn, lang) are read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,23 +37,28 @@ from pyspark.sql import functions as F
 from .bpe import default_vocabulary, read_ranks
 from .common import Words, coefficients, cut, mix64, slices, table, text_buffers
 
-LONGEST, PIECE = 40, 12
+#: Bytes of the parts in which words are learned from.
+PART = 4096
 MOST_DOCS = 600
 ROUNDS = 4
 #: Weight of the even distribution that smooths a language's expected counts.
 SMOOTH = 200.0
 CACHE = 300_000
-LETTER = re.compile(r"[^\W\d_]").search
+#: Bytes of words whose pieces are looked up at a time.
+CELLS = 250_000
+#: Sums are scaled anew where they leave this range.
+SMALL = 1e-120
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """Hash table from byte strings of up to PIECE bytes to piece numbers."""
+    """Hash table from the vocabulary's byte strings to piece numbers."""
 
     BITS = 22
 
     def __init__(self, path: str):
-        self.pieces = sorted(p for p in read_ranks(path) if len(p) <= PIECE)
+        self.pieces = sorted(read_ranks(path))
+        self.longest = max(map(len, self.pieces))
         h = np.zeros(len(self.pieces), dtype=np.uint64)
         for i, p in enumerate(self.pieces):
             x = 0
@@ -90,53 +96,113 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def lattice(words: np.ndarray, size: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, rows, piece numbers) of every piece of the words, ends rising.
+def lattice(words: np.ndarray, size: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(end, starts, rows, piece numbers) of the pieces that end there, for every end, rising; rows rise too.
 
-    words: bytes in columns, 0 beyond the end; size: their lengths.
+    words: bytes in columns, 0 beyond the end; size: their lengths.  Pieces are looked up for
+    as many ends at a time as ``CELLS`` allows.
     """
     n, width = words.shape
-    value = words.astype(np.uint64) + np.uint64(1)
-    hashes: list[np.ndarray] = []
-    for k in range(1, min(PIECE, width) + 1):
-        hashes.append(hashes[-1][:, :-1] * BASE + value[:, k - 1 :] if hashes else value)
-    for end in range(1, width + 1):
-        alive = np.flatnonzero(size >= end)
-        if not len(alive):
-            return
-        for k in range(min(PIECE, end), 0, -1):
-            got = pieces.find(hashes[k - 1][alive, end - k])
-            hit = got >= 0
-            if hit.any():
-                yield end - k, end, alive[hit], got[hit]
+    step = max(pieces.longest, CELLS // max(1, n))
+    for low in range(0, width, step):
+        high = min(width, low + step)  # ends in (low, high]
+        left = max(0, low - pieces.longest + 1)
+        value = words[:, left:high].astype(np.uint64) + np.uint64(1)
+        h = value
+        ends, starts, rows, found = [], [], [], []
+        for k in range(1, min(pieces.longest, high - left) + 1):
+            if k > 1:
+                h = h[:, :-1] * BASE + value[:, k - 1 :]
+            skip = max(0, low + 1 - k - left)  # starts whose end is in an earlier part
+            got = pieces.find(h[:, skip:].reshape(-1)).reshape(n, -1)
+            row, start = np.nonzero(got >= 0)
+            piece = got[row, start]
+            start = start + (left + skip)
+            ok = start + k <= size[row]
+            ends.append(start[ok] + k)
+            starts.append(start[ok])
+            rows.append(row[ok])
+            found.append(piece[ok])
+        end, start, row, piece = (np.concatenate(x) for x in (ends, starts, rows, found))
+        order = np.argsort(end * n + row, kind="stable")
+        end, start, row, piece = end[order], start[order], row[order], piece[order]
+        cuts = np.searchsorted(end, np.arange(low + 1, high + 2))
+        for e in range(low + 1, high + 1):
+            u, v = cuts[e - low - 1], cuts[e - low]
+            if u < v:
+                yield e, start[u:v], row[u:v], piece[u:v]
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, rising, and the sum of each one's values."""
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return rows[first], np.add.reduceat(values, first, axis=0)
 
 
 def forward(words: np.ndarray, size: np.ndarray, p: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Log probability of each word in each language; p: pieces by languages."""
-    n, width = words.shape
-    alpha = np.zeros((width + 1, n, p.shape[1]))
-    alpha[0] = 1.0
-    for start, end, rows, which in lattice(words, size, pieces):
-        alpha[end, rows] += alpha[start, rows] * p[which]
-    return np.log(np.maximum(alpha[size, np.arange(n)], 1e-300))
+    """Log probability of each word in each language; p: pieces by languages.
+
+    Sums of the last ``longest`` ends stand in a ring, each as a mantissa and the logarithm of
+    its scale; scales differ only in words where sums became small.
+    """
+    n, languages = len(words), p.shape[1]
+    ring = pieces.longest + 1
+    a, scale = np.zeros((ring, n, languages)), np.zeros((ring, n, languages))
+    now = np.zeros((n, languages))
+    a[0] = 1.0
+    scaled = False
+    out = np.zeros((n, languages))
+    for end, start, rows, which in lattice(words, size, pieces):
+        at = start % ring
+        part = a[at, rows] * p[which]
+        if scaled:
+            part = part * np.exp(np.minimum(scale[at, rows] - now[rows], 600.0))
+        row, total = summed(rows, part)
+        low = total < SMALL
+        if low.any():
+            scaled = True
+            change = np.where(low, np.log(total), 0.0)
+            total = np.where(low, 1.0, total)
+            now[row] += change
+        a[end % ring] = 0.0
+        a[end % ring, row] = total
+        scale[end % ring, row] = now[row]
+        done = size[row] == end
+        out[row[done]] = np.log(total[done]) + now[row[done]]
+    return out
 
 
 def expected(words: np.ndarray, size: np.ndarray, weight: np.ndarray, p: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Expected count of every piece in weighted words of one language."""
+    """Expected count of every piece in weighted words of one language, by scaled forward and backward sums."""
     n, width = words.shape
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-    alpha[0] = 1.0
-    beta[size, np.arange(n)] = 1.0
+    a, b = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    a_scale, b_scale = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    a[0] = 1.0
+    b[size, np.arange(n)] = 1.0
     edges = list(lattice(words, size, pieces))
-    for start, end, rows, which in edges:
-        alpha[end, rows] += alpha[start, rows] * p[which]
-    for start, end, rows, which in reversed(edges):
-        beta[start, rows] += beta[end, rows] * p[which]
-    scale = weight / np.maximum(alpha[size, np.arange(n)], 1e-300)
-    out = np.zeros(len(p))
-    for start, end, rows, which in edges:
-        out += np.bincount(which, weights=alpha[start, rows] * p[which] * beta[end, rows] * scale[rows], minlength=len(p))
-    return out
+    now = np.zeros(n)
+    for end, start, rows, which in edges:
+        row, total = summed(rows, a[start, rows] * p[which] * np.exp(a_scale[start, rows] - now[rows]))
+        low = total < SMALL
+        now[row[low]] += np.log(total[low])
+        total[low] = 1.0
+        a[end, row], a_scale[end, row] = total, now[row]
+    end = np.concatenate([np.full(len(x[1]), x[0]) for x in edges])
+    start, rows, which = (np.concatenate([x[k] for x in edges]) for k in (1, 2, 3))
+    order = np.argsort(-start * n + rows, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(start[order]) != 0)), len(order))
+    now = np.zeros(n)
+    for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+        i = order[u:v]
+        row, total = summed(rows[i], b[end[i], rows[i]] * p[which[i]] * np.exp(b_scale[end[i], rows[i]] - now[rows[i]]))
+        low = total < SMALL
+        now[row[low]] += np.log(total[low])
+        total[low] = 1.0
+        b[start[i[0]], row], b_scale[start[i[0]], row] = total, now[row]
+    every = np.arange(n)
+    whole = np.log(a[size, every]) + a_scale[size, every]
+    share = a[start, rows] * p[which] * b[end, rows] * np.exp(a_scale[start, rows] + b_scale[end, rows] - whole[rows])
+    return np.bincount(which, weights=share * weight[rows], minlength=len(p))
 
 
 def columns(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +211,27 @@ def columns(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width), size
 
 
+def grouped(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words of rising length, together as far as their columns hold some ``CELLS`` bytes."""
+    low = 0
+    for k in range(1, len(words) + 1):
+        if k == len(words) or (k + 1 - low) * len(words[k]) > CELLS:
+            yield words[low:k]
+            low = k
+
+
 def learn(counts: Counter, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its word counts."""
     p = np.full(len(pieces.pieces), 1.0 / len(pieces.pieces))
+    parts: Counter = Counter()
+    for word, n in counts.items():
+        for low in range(0, len(word), PART):
+            parts[word[low : low + PART]] += n
+    counts = parts
     ordered = sorted(counts, key=lambda w: (len(w), w))
     for _ in range(rounds):
         total = np.zeros(len(p))
-        for low in range(0, len(ordered), 8000):
-            part = ordered[low : low + 8000]
+        for part in grouped(ordered):
             words, size = columns(part)
             total += expected(words, size, np.array([counts[w] for w in part], dtype=float), p, pieces)
         p = (total + SMOOTH / len(p)) / (total.sum() + SMOOTH)
@@ -163,21 +242,25 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.lower() for t in texts.to_pylist()], pa.large_string())
 
 
+#: Kind of each byte: white space, letters and bytes of other characters, digits, signs.
+KIND = np.full(256, 3, dtype=np.uint8)
+KIND[[32, *range(9, 14)]] = 0
+KIND[[*range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
+
+
 class LetterWords(Words):
-    """Runs of ASCII letters and non-ASCII bytes, cut into parts of LONGEST - 1 bytes."""
+    """Runs of letters (ASCII ones and all non-ASCII bytes), of digits and of signs."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         base = offsets[0]
         data, offsets = data[base : offsets[-1]], offsets - base
-        inside = ((data >= 97) & (data <= 122)) | (data >= 128)
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        kind = KIND[data]
+        first = kind > 0
+        first[1:] &= kind[1:] != kind[:-1]
         edge = offsets[(offsets > 0) & (offsets < len(data))]
-        first[edge] = inside[edge]
-        at = np.flatnonzero(inside)
-        run = np.cumsum(first)[at] - 1
-        begin = np.flatnonzero(first)
-        first[at[((at - begin[run]) % (LONGEST - 1) == 0)]] = True
+        first[edge] = kind[edge] > 0
+        at = np.flatnonzero(kind)
         self.start = np.flatnonzero(first)
         part = np.cumsum(first)[at] - 1
         size = np.bincount(part, minlength=len(self.start))
@@ -185,7 +268,7 @@ class LetterWords(Words):
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
         self.data = data
         cuts = np.cumsum(size) - size
-        c = coefficients(LONGEST, 1)
+        c = coefficients(int(size.max()) if len(size) else 0, 1)
         sums = np.add.reduceat(c[at - self.start[part]] * (data[at].astype(np.uint64) + np.uint64(1)), cuts) if len(at) else np.zeros(0, np.uint64)
         self.hash = [mix64(sums + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))]
 
@@ -223,8 +306,15 @@ class Model:
             new = np.flatnonzero(~old)
             if len(new):
                 size = (w.end - w.start)[first[new]]
-                for part in np.array_split(new[np.argsort(size, kind="stable")], max(1, len(new) // 4000)):
-                    table_[part] = forward(*w.matrix(first[part]), self.p, pieces)
+                order = np.argsort(size, kind="stable")
+                new, size, low = new[order], size[order], 0
+                for k in range(1, len(new) + 1):
+                    # words of like length together; many languages are summed few at a time
+                    if k == len(new) or (k + 1 - low) * (size[k] + 1) > CELLS or k - low >= 4000:
+                        part, low = new[low:k], k
+                        words, lengths = w.matrix(first[part])
+                        for g in range(0, len(self.languages), 8):
+                            table_[part, g : g + 8] = forward(words, lengths, self.p[:, g : g + 8], pieces)
                 if len(known) + len(new) > CACHE:
                     known, logs = values, table_
                 else:
@@ -238,7 +328,7 @@ class Model:
             post /= post.sum(axis=1, keepdims=True)
             top = post.argmax(axis=1)
             for i, t in enumerate(texts.to_pylist()):
-                ok = bool(t) and LETTER(t) is not None
+                ok = bool(t) and any(map(str.isalpha, t))
                 names.append(self.languages[top[i]] if ok else "und")
                 best[i] = post[i, top[i]] if ok else 0.0
             return names, best
@@ -269,15 +359,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         rows = [(g, word, n) for g, c in seen.items() for word, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
-    got = cut(sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))).toArrow()
-    by: dict[str, Counter] = {}
-    for g, word, n in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist(), strict=True):
-        by.setdefault(g, Counter())[word] = n
-    languages = tuple(sorted(by))
+    counts = cut(sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+    def fit(group: pa.Table) -> pa.Table:
+        # the words of at most most_docs texts
+        p = learn(Counter(dict(zip(group["word"].to_pylist(), group["n"].to_pylist(), strict=True))), pieces_of(path))
+        return pa.table({"lang": group["lang"].slice(0, 1), "p": pa.array([p.tobytes()], pa.binary())})
+
+    made = counts.groupBy("lang").applyInArrow(fit, "lang string, p binary").orderBy("lang").toArrow()  # a row per language
+    languages = tuple(made["lang"].to_pylist())
     if not languages:
         return Model(path, (), None)
-    pieces = pieces_of(path)
-    return Model(path, languages, np.stack([learn(by[g], pieces) for g in languages], axis=1))
+    order = sorted(range(len(languages)), key=languages.__getitem__)
+    return Model(path, tuple(languages[i] for i in order), np.stack([np.frombuffer(made["p"][i].as_py()) for i in order], axis=1))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
