@@ -13,9 +13,14 @@ on the driver, and is a few thousand weights.  Labelled pages of one's own can b
 given instead.
 
 Formulas (MathML) and the text of drawings (SVG) are text of the block around them.
-Left out is what a browser with scripts doesn't show: scripts, styles, templates, the
-head, noscript, what stands in for a frame, object or canvas, a formula's annotations
-and phantoms, a drawing's descriptions and definitions; and the content of form controls.
+Passed over before the field sees them are scripts, styles, the head, templates and form
+controls, and what is markup of a formula or drawing and never shown as text (a formula's
+annotations and phantoms, a drawing's descriptions and definitions).  What stands in for a
+frame, object, canvas or script is text of a block of its own, for the field to judge.
+
+Open elements are a chain that shares its parents, and each knows what it adds to their
+features, so a page costs time and memory in proportion to its length, however
+deep it is nested.
 
 Null and empty pages have an empty text.  Any markup is read to its end, however
 broken.  Repeated rows give equal rows; empty tables give empty results; only the
@@ -44,7 +49,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template iframe object canvas head title select textarea annotation annotation-xml mphantom desc metadata defs symbol".split())
+SKIPPED = frozenset("script style template head title select textarea annotation annotation-xml mphantom desc metadata defs symbol".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements of formulas and drawings; they run inside a block, and end at once if they end in a slash.
@@ -77,27 +82,80 @@ def element(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *names_in(attributes))
 
 
-def blocks(html: str) -> list[tuple[str, tuple, int]]:
-    """(text, path of elements, letters in links) of every leaf block, in page order."""
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, ...]] = []
+class Open:
+    """An element of a path: what it adds to its ancestors' features, and the chain above it."""
+
+    __slots__ = ("above", "added", "element", "holder", "score")
+
+    def __init__(self, above: Open | None, element: tuple[str, ...], added: tuple[str, ...]):
+        self.above, self.element, self.added = above, element, added
+        self.holder = element if element[0] in HOLDERS else above.holder if above else ("-",)
+        #: Sum of the weights of the whole chain's features, once a model has been asked.
+        self.score: float | None = None
+
+
+class Path:
+    """The open elements of a page, and where each tag stands among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Open | None, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.active: dict[str, int] = {}
+
+    def top(self) -> Open | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, e: tuple[str, ...]) -> None:
+        node, held = self.top(), ()
+        if e[0] not in INLINE or len(e) > 1:
+            held = ("in=" + e[0], *("name=" + x for x in e[1:]))
+            node = Open(node, e, tuple(f for f in held if not self.active.get(f)))
+            for f in held:
+                self.active[f] = self.active.get(f, 0) + 1
+        self.places.setdefault(e[0], []).append(len(self.stack))
+        if e[0] in WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append((e[0], node, held))
+
+    def close(self, k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(self.stack) > k:
+            tag, _, held = self.stack.pop()
+            self.places[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+            for f in held:
+                self.active[f] -= 1
+
+
+def blocks(html: str) -> list[tuple[str, Open | None, int]]:
+    """(text, innermost element, letters in links) of every leaf block, in page order."""
+    out: list[tuple[str, Open | None, int]] = []
+    path = Path()
     texts: list[str] = []
-    links, at, in_link, path = 0, 0, 0, ()
+    links, at, in_link = 0, 0, 0
+    node: Open | None = None
     find = TAG.search
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal links
         if texts:
             text = " ".join(unescape("".join(texts)).split())
             if text:
-                out.append((text, path, links))
+                out.append((text, node, links))
             texts.clear()
         links = 0
 
     def add(raw: str) -> None:
-        nonlocal links, path
+        nonlocal links, node
         if not texts:
-            path = tuple(e for e in stack if e[0] not in INLINE or len(e) > 1)
+            node = path.top()
         texts.append(raw)
         if in_link:
             links += len(raw)
@@ -118,9 +176,12 @@ def blocks(html: str) -> list[tuple[str, tuple, int]]:
         if tag in SKIPPED and not end:
             if tag in FOREIGN and (m[3] or m[6] or "").endswith("/"):
                 continue
-            if tag not in FOREIGN and not any(e[0] in ("svg", "math") for e in stack):
+            if tag not in FOREIGN and path.last("svg") < 0 and path.last("math") < 0:
                 flush()
-            close = re.compile(rf"</{tag}\b[^>]*>|<body\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            # what has no end further on is not looked for again
+            close = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>|<body\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            if close is None:
+                endless.add(tag)
             at = n if close is None and tag in ("script", "style") else at if close is None else close.start() if close[0][:2] != "</" else close.end()
             continue
         if tag == "br" or tag == "text":
@@ -133,43 +194,45 @@ def blocks(html: str) -> list[tuple[str, tuple, int]]:
         if tag in VOID or (tag in FOREIGN and (m[3] or m[6] or "").endswith("/")):
             continue
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if path.last(tag) >= 0:
+                path.close(path.last(tag))
             if tag == "a":
                 in_link = 0
             continue
         if not inline:
-            gone = ENDS.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in gone:
-                    del stack[k:]
-                    break
-                if stack[k][0] in WALLS:
-                    break
+            ended = max(path.last(g) for g in (*ENDS.get(tag, ()), "p"))
+            if ended > (path.walls[-1] if path.walls else -1):
+                path.close(ended)
             in_link = 0
         if tag == "a":
             in_link = 1
-        stack.append(element(tag, m[3] or m[6] or ""))
+        path.push(element(tag, m[3] or m[6] or ""))
     flush()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
-    own = path[-1][0] if path else "-"
-    holder = next((e for e in reversed(path) if e[0] in HOLDERS), ("-",))
+def near_features(node: Open | None) -> list[str]:
+    """Features of the innermost elements: own tag, holder, names of the last two."""
+    own = node.element[0] if node else "-"
+    holder = node.holder if node else ("-",)
     out = {"own=" + own, "holder=" + holder[0], f"holder={holder[0]} own={own}"}
     if len(holder) == 1:
         out.add(f"bare holder={holder[0]}")
-    for e in path:
-        out.add("in=" + e[0])
-        out |= {"name=" + x for x in e[1:]}
-    for e in path[-2:]:
-        out |= {"near=" + x for x in e[1:]}
+    for e in (node, node.above if node else None):
+        if e:
+            out |= {"near=" + x for x in e.element[1:]}
     return sorted(out)
 
 
+def path_features(node: Open | None) -> list[str]:
+    """All features of a block's path: tags and names of the whole chain, and those of its inner end."""
+    out = near_features(node)
+    while node:
+        out += node.added
+        node = node.above
+    return out
+
+
 def text_features(text: str, links: int) -> list[str]:
     n = len(text)
     share = links / n
@@ -191,20 +254,29 @@ class Model:
     move: tuple[tuple[float, float], tuple[float, float]]
     first: tuple[float, float]
 
+    def chain(self, node: Open | None) -> float:
+        """Sum of the weights of the chain's features; each element is asked once."""
+        todo = []
+        while node and node.score is None:
+            todo.append(node)
+            node = node.above
+        total = node.score if node else 0.0
+        for x in reversed(todo):
+            total += sum(self.weight.get(f, 0.0) for f in x.added)
+            x.score = total
+        return total
+
     def decoder(self):
         weight, (m0, m1), first = self.weight, self.move, self.first
-        by_path: dict[tuple, float] = {}
 
-        def decode(found: list[tuple[str, tuple, int]]) -> list[bool]:
+        def decode(found: list[tuple[str, Open | None, int]]) -> list[bool]:
             """Viterbi: is the block main?"""
             back = []
             a = b = 0.0
-            for k, (text, path, links) in enumerate(found):
-                e = by_path.get(path)
-                if e is None:
-                    if len(by_path) > 50_000:
-                        by_path.clear()
-                    e = by_path[path] = sum(weight.get(f, 0.0) for f in path_features(path))
+            for k, (text, node, links) in enumerate(found):
+                e = self.chain(node)
+                for f in near_features(node):
+                    e += weight.get(f, 0.0)
                 for f in text_features(text, links):
                     e += weight.get(f, 0.0)
                 if k == 0:

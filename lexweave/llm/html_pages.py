@@ -25,6 +25,8 @@ NAMES = {
     "form": ["form", "search", "search-box", "login", "signup", "contact-form", "comment-form", "subscribe-form"],
     "comments": ["comments", "comment", "comment-list", "discussion", "replies", "responses", "reader-comments", "disqus"],
 }
+#: Names that say how a part looks, not what it is.
+LOOKS = "flex grid block col row items-center justify-between gap-2 gap-4 px-4 py-2 py-8 mx-auto mt-4 mt-8 mb-2 w-full max-w-3xl h-full bg-white bg-gray-100 text-sm text-xs text-gray-500 text-center font-bold leading-7 border border-t rounded shadow container row-12 col-md-8 col-4 clearfix no-print dark".split()
 TAGS = {"article": ["article", "main", "div", "section"], "nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "notice": ["div", "section", "aside"], "ad": ["div", "aside", "section"], "form": ["form"], "comments": ["section", "div", "ol"]}
 
 
@@ -32,6 +34,7 @@ class Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.noise: list[str] = []
+        self.looks = False
         self.syllables = ["".join(self.r.choice("bcdfghklmnprstvz") + self.r.choice("aeiouéäó") for _ in range(1)) + self.r.choice(["", "n", "r", "s", "t"]) for _ in range(60)]
 
     def word(self) -> str:
@@ -55,6 +58,10 @@ class Writer:
             name = self.r.choice(NAMES[kind])
             if self.r.random() < 0.2:
                 name = self.r.choice(["js-", "c-", "site-", "box "]) + name
+            if self.looks:
+                words = [*self.r.choices(LOOKS, k=self.r.randint(1, 6)), name]
+                self.r.shuffle(words)
+                name = " ".join(words)
             attr = f' {self.r.choice(["class", "class", "id"])}="{name}"'
         return f"<{tag}{attr}>", f"</{tag}>"
 
@@ -66,6 +73,8 @@ class Writer:
         r = self.r
         start, end = self.open(kind, r.random() < 0.5)
         out: list = [(start, None, OTHER)]
+        if kind in ("aside", "comments", "notice", "footer", "ad") and r.random() < 0.35:
+            out.append((r.choice(["<h2>", "<h3>", "<h3>", "<h4>"]), self.sentence(1, 4), OTHER))
         if kind == "nav" or (kind in ("aside", "footer", "header") and r.random() < 0.5):
             for _ in range(r.randint(2, 9)):
                 out.append(("<li>", self.link(), OTHER))
@@ -88,6 +97,7 @@ class Writer:
         r = self.r
         # some pages carry signs on every word
         self.noise = r.choice([["!!"], ["%%%", "$$$", "***", "###", "&amp;&amp;&amp;"], [" |"], ["", "", "!!"]]) if r.random() < 0.15 else []
+        self.looks = r.random() < 0.25
         parts: list = []
         for kind in ("notice", "header", "nav", "ad", "form", "aside"):
             if r.random() < (0.75 if kind in ("header", "nav") else 0.4):
@@ -122,4 +132,6 @@ class Writer:
                 parts += self.boiler(kind)
         close = {"<p>": "</p>", "<li>": "</li>"}
         html = "".join(m + (t or "") + (close.get(m, "") if r.random() < 0.8 and t else "") + (f"</{m[1:-1]}>" if t and m.startswith("<") and m not in close and m[1:-1].isalnum() and m not in ("<div>", "<blockquote>") else "") + ("</div>" if m == "<div>" and t else "") for m, t, _ in parts)
-        return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title></head><body>{html}</body></html>", [(t, label) for _, t, label in parts if t]
+        # what a body is called says nothing about its parts
+        body = f' class="{r.choice(["article-page", "single post", "page", "post-template", "has-sidebar", "no-comments", "home with-ads", "story menu-open"])}"' if r.random() < 0.3 else ""
+        return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title></head><body{body}>{html}</body></html>", [(t, label) for _, t, label in parts if t]
