@@ -1,9 +1,14 @@
 """Document fingerprints by winnowing; DataFrame functions only.
 
-A token is up to ``TOKEN`` characters of a run without ASCII white space, so
-that scripts without spaces have tokens too.  The hash of the k tokens at a
-place is built by doubling from the hashes of halves, which neighbouring places
-share, as a rolling hash shares its middle.  In every window of w hashes the least
+Tokens are told by the text around them alone, never by the distance from its start: a
+word (run without ASCII white space) of up to ``TOKEN`` characters is one; a longer run
+is cut after each of a fixed set of common characters; characters of scripts without
+spaces are tokens of their own.  A text of fewer than ``SHORT`` tokens is taken
+character by character.  So an edit changes the tokens next to it and no others.
+
+The hash of the k tokens at a place is a polynomial modulo a prime, as of a rolling hash:
+``h[i + 1] = B * (h[i] - t[i] * B**(k - 1)) + t[i + k]``; all places are computed side by side by
+doubling, as ``h2k[i] = hk[i] * B**k + hk[i + k]``.  In every window of w hashes the least
 one is chosen, the rightmost of equal ones; a choice is one long: 31 bits of hash
 above 32 bits that fall with the position, so the plain minimum is that rule.
 Window minima also come by doubling, so a text costs n * (log k + log w).
@@ -13,9 +18,10 @@ fingerprint.
 Null texts count as empty: no fingerprint, an empty string.  A text of fewer
 than k tokens has one gram, one of fewer than w grams one window.  Two texts
 without fingerprints are alike (1), one without and one with are not (0).
-Repeated ids follow each other by text; null ids come last.  A single row is
+Ids may be of any type that has an order.  Repeated ids, and null ids, which come last,
+follow each other by a hash of the text; equal rows follow each other.  A single row is
 followed by itself.  Empty tables give empty results.  Only the id and text
-columns are read.
+columns are read, and may have any names.
 """
 
 from __future__ import annotations
@@ -23,9 +29,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
-
-TOKEN, GRAM, WINDOW = 8, 4, 4
+from .common import cut, table
+
+TOKEN, GRAM, WINDOW = 16, 4, 4
+#: Texts of fewer tokens are cut into characters.
+SHORT = 8
+#: Characters of Thai, Lao, Tibetan, Myanmar, Khmer, Han, Kana and their kin.
+ALONE = r"\u0E00-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+SPACE = r"\x20\x09-\x0D"
+#: Where longer runs are cut.
+ENDS = r"aeinrt0369/_.\-"
+RUN = rf"[^{SPACE}{ALONE}]"
+TOKENS = rf"{RUN}{{1,{TOKEN}}}+(?!{RUN})|[{ALONE}]|{RUN}{{0,{TOKEN - 1}}}?[{ENDS}]|{RUN}{{1,{TOKEN}}}"
+#: The rolling hash's base and prime; a product of two residues fits into a long.
+BASE, PRIME = 1_103_515_245, (1 << 31) - 1
 #: Buckets of neighbouring ids for each shuffle partition.
 BUCKETS = 4
 
@@ -35,19 +52,26 @@ def shifted(a: str, by: int) -> Column:
     return F.slice(a, by + 1, F.size(a))
 
 
+def tokens(text: Column) -> Column:
+    """Tokens of a text that isn't null."""
+    words = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+    return F.when(F.size(words) < SHORT, F.regexp_extract_all(text, F.lit(f"[^{SPACE}]"), F.lit(0))).otherwise(words)
+
+
 def choices(df: DataFrame, text_col: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """Adds ``out``, the distinct choices of the text by position; k and w are powers of two."""
     g, m = f"{out}_g", f"{out}_m"
-    df = df.withColumn(g, F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN}}}"), F.lit(0)), lambda t: F.xxhash64(t)))
+    df = df.withColumn(g, tokens(F.coalesce(F.col(text_col), F.lit("")))).withColumn(g, F.transform(g, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME))))
     df = df.withColumn(f"{out}_n", F.size(g))
     step = 1
     while step < k:
-        # past the end the second half is null, which xxhash64 skips: a short text's only gram
-        df = df.withColumn(g, F.zip_with(g, shifted(g, step), lambda x, y: F.xxhash64(x, y)))
+        # past the end the second half is 0: a short text's only gram
+        power = pow(BASE, step, PRIME)
+        df = df.withColumn(g, F.zip_with(g, shifted(g, step), lambda x, y: (x * power + F.coalesce(y, F.lit(0))) % PRIME))
         step *= 2
     full = F.greatest(F.col(f"{out}_n") - (k - 1), F.least(F.col(f"{out}_n"), F.lit(1)))
     rank = F.lit((1 << 32) - 1)
-    df = df.withColumn(m, F.transform(F.slice(g, 1, full), lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 32) + (rank - i)))
+    df = df.withColumn(m, F.transform(F.slice(g, 1, full), lambda h, i: F.shiftleft(h, 32) + (rank - i)))
     step = 1
     while step < w:
         df = df.withColumn(m, F.zip_with(m, shifted(m, step), lambda x, y: F.least(x, y)))
@@ -77,33 +101,41 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return choices(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "choices")
 
 
+def bucket_of(heads: Column, key: Column, buckets: int) -> Column:
+    """Place of the last of the falling ``heads`` that is not below the key, by halving."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.get(heads, middle) >= key
+        return F.struct(F.when(above, middle).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(heads).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, buckets.bit_length()))), start, halve)["low"]
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fingerprints`` with the next row by falling id (after the last the first) as ``next``.
 
-    Rows are dealt to buckets of neighbouring ids, by approximate quantiles, so
-    no task sees the whole order; the first row of the following bucket is put
-    after the last of each.  The driver holds a number per bucket.
+    Ids alone are range partitioned; the first key of each part is the head of a bucket of
+    neighbouring ids.  Heads are one row, a key for each bucket and never more, which every task gets;
+    a row finds its bucket by halving.  Texts are dealt by bucket, once, and each bucket gets a copy of
+    the following one's first row, so no task sees the whole order.
     """
     spark = df.sparkSession
-    ids = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    bounds = sorted(set(bounds or []))
-    low = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(low)
-    heads = {r.bucket: r.id for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("id")).collect()}
-    order = sorted(heads, reverse=True)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the bucket that is followed by b
-    follow = ids.sparkSession.createDataFrame([(heads[b], before[b]) for b in order if b >= 0], "id long, bucket int")
-    first = ids.join(F.broadcast(follow), "id").groupBy("id", "bucket").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).select("bucket", "id", "text")
-    if -1 in heads:
-        null = ids.where("id is null").groupBy("id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-        first = first.unionByName(null.select(F.lit(before[-1]).alias("bucket"), "id", "text"))
-    rows = ids.select("id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"), F.lit(0).alias("extra"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).alias("key"), text.alias("text"))
+    dealt = rows.select("key").repartitionByRange(n, F.col("key").desc()).select("key", F.spark_partition_id().alias("part"))
+    heads = cut(dealt.groupBy("part").agg(F.max("key").alias("key")))
+    heads = cut(heads.agg(F.sort_array(F.collect_list("key"), asc=False).alias("heads")))
+    every = rows.join(F.broadcast(heads)).select("key", "text", bucket_of(F.col("heads"), F.col("key"), n).alias("bucket"), F.lit(0).alias("extra"))
+    follow = heads.select(F.posexplode("heads").alias("i", "key"), F.size("heads").alias("of")).select("key", F.pmod(F.col("i") + F.col("of") - 1, F.col("of")).alias("bucket"))
+    # a bucket's head is one text, whatever rows repeat it
+    first = rows.join(F.broadcast(follow), "key").groupBy("key", "bucket").agg(F.max("text").alias("text")).select("key", "text", "bucket", F.lit(1).alias("extra"))
     # only texts are dealt; fingerprints are made where a bucket's rows have come together
-    every = choices(rows.unionByName(first.withColumn("extra", F.lit(1))).repartition("bucket"), "text", "choices")
-    w = Window.partitionBy("bucket").orderBy("extra", F.col("id").desc_nulls_last(), F.col("text").desc())
-    return every.withColumn("next", F.lead(F.struct("text", "choices")).over(w)).where("extra = 0").select("id", "text", "choices", "next")
+    made = choices(every.unionByName(first).repartition("bucket"), "text", "choices")
+    w = Window.partitionBy("bucket").orderBy("extra", F.col("key").desc())
+    return made.withColumn("next", F.lead(F.struct("text", "choices")).over(w)).where("extra = 0").select("key.id", "text", "choices", "next")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,20 +53,73 @@ def brute_winnow(h, k, w):
     return out
 
 
-def test_winnowing(spark, docs):
+def plain_tokens(text):
+    """Tokens by walking the text."""
+    alone = lambda c: any(low <= ord(c) <= high for low, high in [(0xE00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)])
+    out, run = [], ""
+
+    def close():
+        nonlocal run
+        while run:
+            n = len(run) if len(run) <= fingerprint.TOKEN else next((k + 1 for k in range(fingerprint.TOKEN) if run[k] in "aeinrt0369/_.-"), fingerprint.TOKEN)
+            out.append(run[:n])
+            run = run[n:]
+
+    for c in text:
+        if c in " \t\n\v\f\r" or alone(c):
+            close()
+            out.extend([c] if alone(c) else [])
+        else:
+            run += c
+    close()
+    return out if len(out) >= fingerprint.SHORT else [c for c in text if c not in " \t\n\v\f\r"]
+
+
+def plain_fingerprint(text, hashes):
+    """Fingerprint as written, with a hash that truly rolls; hashes: Spark's hash of each token."""
+    k, w, base, prime = fingerprint.GRAM, fingerprint.WINDOW, fingerprint.BASE, fingerprint.PRIME
+    t = [hashes[x] % prime for x in plain_tokens(text)]
+    if not t:
+        return "", set()
+    t += [0] * (k - len(t))
+    h = [0]
+    for x in t[:k]:
+        h[0] = (h[0] * base + x) % prime
+    for i in range(len(t) - k):
+        h.append((base * (h[-1] - t[i] * pow(base, k - 1, prime)) + t[i + k]) % prime)
+    at = brute_winnow(h, k, w)
+    return ",".join(f"{h[j]:X}@{j}" for j in at), {h[j] for j in at}
+
+
+def fingerprint_texts():
     r = random.Random(2)
-    texts = [" ".join(r.choice(["aa", "bb", "cc", "longerword"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 6, 7, 8, 30, 200)] + [None, "x" * 100, "same " * 50]
-    df = fingerprint.choices(docs(texts), "text", "c")
-    tok = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0)), lambda t: F.xxhash64(t))
-    two = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-    df = df.withColumn("t", tok).withColumn("g", two("t", F.slice("t", 2, F.size("t")))).withColumn("g", two("g", F.slice("g", 3, F.size("g"))))
-    for row in df.collect():
-        n = len(row.t)
-        full = max(n - 3, min(n, 1))
-        high = [(g % (1 << 64)) >> 33 for g in row.g[:full]]
-        places = [(1 << 32) - 1 - (c & ((1 << 32) - 1)) for c in row.c]
-        assert places == brute_winnow(high, 4, fingerprint.WINDOW)
-        assert [c >> 32 for c in row.c] == [high[p] for p in places]
+    words = [" ".join(r.choice(["aa", "bb", "cc", "longerword"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 6, 7, 8, 30, 200)]
+    return [*words, None, "", "x" * 100, "same " * 50, "https://a.example/path/to_some-file.html?query=1234567890 " * 4, "長い文には空白がない。" * 9, "short one", "two", "é" * 10, "z " * 2000, "a b \x0b c", "tie", "tie", *(f"text {i} " * (i % 7) for i in range(60))]
+
+
+def test_fingerprints_equal_a_plain_form(spark, docs, tmp_path):
+    texts = fingerprint_texts()
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    t = [x or "" for x in texts]
+    edited = [own[: len(own) - len(own) // 3] + t[i - 1][: len(own) // 3] for i, own in enumerate(t)]
+    known = sorted({x for y in t + edited for x in plain_tokens(y)})
+    hashes = {r.t: r.h for r in spark.createDataFrame([(x,) for x in known], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    got = {r.doc_id: r for r in fingerprint.op4_fingerprint(spark, str(tmp_path)).collect()}
+    assert len(got) == len(t)
+    for i, own in enumerate(t):
+        row, (f, a), (e, b) = got[i], plain_fingerprint(own, hashes), plain_fingerprint(edited[i], hashes)
+        assert (row.n_chars, row.edited_sha256) == (len(own), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (row.fingerprint, row.edited_fingerprint) == (f, e)
+        assert math.isclose(row.near_edited, like(a, b)) and math.isclose(row.near_next, like(a, plain_fingerprint(t[i - 1], hashes)[1]))
+
+
+def test_an_insertion_changes_the_tokens_beside_it_only():
+    r = random.Random(5)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "".join(chr(0x4E00 + i) for i in range(500))):
+        run = "".join(r.choices(alphabet, k=4000))
+        before, after = plain_tokens(run), plain_tokens(run[:2000] + "q" + run[2000:])
+        assert len(Counter(before) - Counter(after)) <= 2 * fingerprint.TOKEN
 
 
 def test_shared_run_shares_a_fingerprint(spark, docs):
@@ -75,23 +128,18 @@ def test_shared_run_shares_a_fingerprint(spark, docs):
     assert {x >> 32 for x in a} & {x >> 32 for x in b}
 
 
-def test_next_documents(spark, docs, none, tmp_path):
-    texts = ["alpha beta", None, "", "é" * 10, "tie", "z " * 2000] + [f"text {i} " * (i % 7) for i in range(60)]
-    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in fingerprint.op4_fingerprint(spark, str(tmp_path)).collect()}
-    t = [x or "" for x in texts]
-    for i, own in enumerate(t):
-        after = t[i - 1]
-        cut = len(own) // 3
-        edited = own[: len(own) - cut] + after[:cut]
-        assert got[i].n_chars == len(own) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        if own == after:
-            assert got[i].near_next == 1 and got[i].fingerprint == got[i - 1 if i else len(t) - 1].fingerprint
+def test_next_documents(spark, docs, none):
     assert fingerprint.with_next(none).count() == 0
+    one = fingerprint.with_next(docs(["alone"])).collect()
+    assert [(r.text, r.next.text) for r in one] == [("alone", "alone")]
     null = docs(["a b c d", "e"]).selectExpr("cast(null as long) doc_id", "text").unionByName(docs(["one"]).select("doc_id", "text"))
     rows = {r.text: r.next.text for r in fingerprint.with_next(null).collect()}
-    assert rows == {"one": "e", "e": "a b c d", "a b c d": "one"}
+    assert rows["one"] in ("a b c d", "e") and set(rows.values()) == {"one", "a b c d", "e"} and rows[rows["one"]] != "one"
+    # ids of any type, repeated rows, columns of clashing names
+    many = spark.createDataFrame([(f"d{i:03}", f"t{i}", "x", 1, 2) for i in range(50)] + [("d007", "t7", "x", 1, 2)] * 30 + [("d007", "other", "x", 1, 2)], "name string, body string, key string, bucket int, extra int")
+    got = Counter((r.id, r.text, r.next.text) for r in fingerprint.with_next(many, "name", "body").collect())
+    assert sum(got.values()) == 81 and got["d049", "t49", "t48"] == 1 and got["d000", "t0", "t49"] == 1
+    assert got["d007", "t7", "t7"] == 30 and sum(n for (i, _, nxt), n in got.items() if i == "d007" and nxt == "t6") == 1
 
 
 @pytest.fixture(scope="module")
