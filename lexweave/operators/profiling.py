@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import url as U
-from ..functions.text import boundary_hint
+from ..functions.text import boundary_hint, parse_profile
 
 KEY = ["library_id", "version"]
 
@@ -95,3 +95,21 @@ def cancel_outcome(status: Column, live: Column) -> Column:
 def reclassifies(asked: Column, profile_hash: Column, manifest_hash: Column, classifier: Column, manifest_classifier: Column) -> Column:
     """Explicit choice, else a changed profile or classifier; without a manifest no."""
     return F.coalesce(asked, F.when(manifest_hash.isNull(), False).otherwise((profile_hash != manifest_hash) | (classifier != manifest_classifier)))
+
+
+def admitted(jobs: DataFrame, now: Column) -> DataFrame:
+    """The next job of each library version: its oldest queued one, if none is running; a stale one doesn't count as running."""
+    queued = jobs.where("status = 'Queued'")
+    busy = jobs.where(F.col("status") == "Running").where(~stale(jobs, now)).select(*KEY).distinct()
+    return queued.join(busy, KEY, "left_anti").groupBy(*KEY).agg(F.min(F.struct("created_at", "id"))["id"].alias("id"))
+
+
+def recon(libraries: DataFrame, replies: DataFrame) -> DataFrame:
+    """Profiles from a model's saved replies (library_id, body); a library without a reply that can be read has an empty profile of confidence 0."""
+    p = parse_profile(F.col("body"))
+    readable = F.from_json("body", "confidence double, languages array<string>, source string")
+    rows = libraries.select(F.col("id").alias("library_id"), F.col("current_version").alias("version")).join(replies, "library_id", "left")
+    ok = F.coalesce(readable["languages"].isNotNull() | readable["confidence"].isNotNull(), F.lit(False))
+    rows = rows.select(*KEY, F.when(ok, p).alias("p"))
+    none = F.array().cast("array<string>")
+    return rows.select(*KEY, *[F.coalesce(F.col(f"p.{c}"), none).alias(c) for c in ("languages", "likely_symbols", "stoplist", "separators", "callable_shapes")], *[F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c) for c in ("types", "methods")], F.coalesce("p.confidence", F.lit(0.0)).alias("confidence"))

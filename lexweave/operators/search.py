@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import query_shape
+from ..functions.text import parse_score, query_shape, score_word
+from ..session import cut
 from . import lexical
 
 
@@ -49,12 +50,10 @@ def blend(hits: DataFrame, bm25: DataFrame) -> DataFrame:
     return out.withColumn("relevance_score", fixed.VECTOR_WEIGHT * F.col("vector_score") + fixed.BM25_WEIGHT * F.col("bm25_score"))
 
 
-def search(chunks: DataFrame, posted: DataFrame, lengths: DataFrame, text: str, vector: Sequence[float] | DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
-    """Hybrid search: the best 2k by cosine, blended with BM25 over all chunks, best k."""
-    spark = chunks.sparkSession
+def search(chunks: DataFrame, index: lexical.Index, text: str, vector: Sequence[float] | DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
+    """Hybrid search: the best 2k by cosine, blended with BM25 over all chunks from the stored index, best k."""
     hits = vector_topk(chunks, vector, fixed.CANDIDATES * k, category)
-    query = spark.createDataFrame([("q", text)], "query_id string, query string")
-    return blend(hits, lexical.score(posted, lengths, query)).orderBy(F.desc("relevance_score"), "id").limit(k)
+    return blend(hits, cut(index.score_text(text))).orderBy(F.desc("relevance_score"), "id").limit(k)
 
 
 def reranks(strategy: Column, query: Column, candidates: Column) -> Column:
@@ -79,6 +78,19 @@ def lexical_rerank(hits: DataFrame, query: str) -> DataFrame:
     return hits.withColumn("rerank_score", F.size(F.array_intersect(words, own)) / F.greatest(F.size(words), F.lit(1)))
 
 
+def rerank(hits: DataFrame, strategy: str, replies: DataFrame | None = None) -> DataFrame:
+    """Adds ``rerank_score`` by strategy: Off keeps the order, Llm reads a word of the scale, CrossEncoder a number.
+
+    replies: (id, reply), what the model said of each hit; a missing or unreadable one scores 0.
+    """
+    if strategy == "Off":
+        return keep_order(hits)
+    if strategy not in ("Llm", "CrossEncoder"):
+        raise ValueError(f"no such strategy: {strategy}")
+    score = score_word(F.col("reply")) if strategy == "Llm" else parse_score(F.col("reply"))
+    return hits.join(replies.select("id", "reply"), "id", "left").withColumn("rerank_score", F.coalesce(score, F.lit(0.0))).drop("reply")
+
+
 def class_reference(chunks: DataFrame, name: str) -> DataFrame:
     """Chunks of that qualified name; in libraries without one, those whose name matches it as a pattern in any case."""
     exact = chunks.where(F.col("qualified_name") == name)
@@ -94,10 +106,18 @@ def overview(chunks: DataFrame, query: Sequence[float] | DataFrame, k: int = 5)
 
 
 def ndcg(ranked: DataFrame, gains: DataFrame, k: int = 5) -> DataFrame:
-    """nDCG@k per query; ranked: (query_id, id, score), gains: (query_id, id, gain)."""
+    """nDCG@k per query; ranked: (query_id, id, score); gains: (id, gain) that hold for every query, or (query_id, id, gain)."""
+    key = ["query_id"] if "query_id" in gains.columns else []
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("gain"), "id")
-    rows = ranked.join(gains, ["query_id", "id"], "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
-    dcg = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("r") + 1)).alias("dcg"))
-    ideal = gains.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("r") + 1)).alias("ideal"))
-    return dcg.join(ideal, "query_id").select("query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+    top = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    part = F.sum(F.col("gain") / F.log2(F.col("r") + 1))
+    dcg = top.join(gains, [*key, "id"], "left").withColumn("gain", F.coalesce("gain", F.lit(0))).groupBy("query_id").agg(part.alias("dcg"))
+    if key:
+        best = Window.partitionBy("query_id").orderBy(F.desc("gain"), "id")
+        ideal = gains.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(part.alias("ideal"))
+        both = dcg.join(ideal, "query_id")
+    else:
+        # the k best gains of all, once
+        best = gains.orderBy(F.desc("gain"), "id").limit(k).agg(F.sort_array(F.collect_list("gain"), asc=False).alias("g"))
+        both = dcg.join(F.broadcast(best.select(F.aggregate(F.transform("g", lambda x, i: x / F.log2(i + F.lit(2))), F.lit(0.0), lambda s, x: s + x).alias("ideal"))))  # one row
+    return both.select("query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"))

@@ -3,55 +3,66 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import text as X
+from ..session import cut
 
 TOKEN = re.compile(fixed.TOKEN)
-EDGE = ".,;:!?)(][><\"'`"
-BEFORE = re.compile(r"([^\W\d]+)\s*\Z")
-CANDIDATE = T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("name", "leaf", "container")), *(T.StructField(c, T.BooleanType()) for c in ("callable", "generic")), T.StructField("keyword", T.StringType())]))
-#: How far back a declaring word is looked for; the longest has nine letters.
-REACH = 64
+#: A declaring word that no letter precedes, and what it declares.
+DECLARING = re.compile(r"(?<![^\W\d])(" + "|".join(fixed.DECLARED) + r")\s+(?=[A-Za-z_])", re.I)
+KEY = ["library_id", "version"]
+#: What a token's fate hangs on, besides its library.
+SHAPE = ["name", "callable", "generic", "keyword"]
+
+
+def split_name(name: str) -> tuple[str, str | None]:
+    """(leaf, container) of a name, by its last separator."""
+    for sep in ("::", "->", "."):
+        left, found, right = name.rpartition(sep)
+        if found:
+            return right, left
+    return name, None
 
 
 def candidates(content: str | None) -> list[tuple]:
-    """Distinct (name, leaf, container, callable, generic, declaring word) of a text, in order."""
-    out, seen = [], set()
+    """Distinct (name, leaf, container, callable, generic, declaring word) of a text, in order; one pass over it."""
     content = content or ""
+    declared = {m.end(): m[1].lower() for m in DECLARING.finditer(content) if m[1].lower() in fixed.DECLARED}
+    seen: dict[tuple, str | None] = {}
     for m in TOKEN.finditer(content):
-        name = m[0].strip(EDGE)
-        if not name:
-            continue
-        container, leaf = None, name
-        for sep in ("::", "->", ".", ":"):
-            left, found, right = name.rpartition(sep)
-            if found and left and right:
-                container, leaf = left, right
-                break
         after = content[m.end() : m.end() + 1]
-        start = m.start()
-        reach = REACH
-        while True:
-            word = BEFORE.search(content[max(0, start - reach) : start])
-            if reach >= start or (word and word.start() > 0) or (word is None and not content[start - reach : start].isspace()):
-                break
-            reach *= 4
-        keyword = word[1].lower() if word and word[1].lower() in fixed.DECLARED else None
-        key = (name, after == "(", after == "<", keyword is not None)
-        if key not in seen:
-            seen.add(key)
-            out.append((name, leaf, container, after == "(", after == "<", keyword))
-    return out
-
-
-@F.pandas_udf(CANDIDATE)
-def tokenize(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: [dict(zip(("name", "leaf", "container", "callable", "generic", "keyword"), t, strict=True)) for t in candidates(c)])
+        keyword = declared.get(m.start())
+        seen.setdefault((m[0], after == "(", after == "<", keyword is not None), keyword)
+    return [(name, *split_name(name), call, generic, keyword) for (name, call, generic, _), keyword in seen.items()]
+
+
+def tokens(chunks: DataFrame) -> DataFrame:
+    """(library_id, version, id, pos, name, leaf, container, callable, generic, keyword) of every chunk's candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for low in range(0, big.num_rows, 256):
+                batch = big.slice(low, 256)
+                row, pos, found = [], [], []
+                for i, text in enumerate(batch.column(3)):
+                    got = candidates(text.as_py())
+                    row += [i] * len(got)
+                    pos += range(len(got))
+                    found += got
+                at = pa.array(row, pa.int32())
+                flat = list(zip(*found, strict=True)) if found else [()] * 6
+                kinds = [pa.string()] * 3 + [pa.bool_()] * 2 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(pos, pa.int32()), *(pa.array(x, k) for x, k in zip(flat, kinds, strict=True))], names=["library_id", "version", "id", "pos", "name", "leaf", "container", "callable", "generic", "keyword"])
+
+    return chunks.select(*KEY, "id", "content").mapInArrow(run, "library_id string, version string, id string, pos int, name string, leaf string, container string, callable boolean, generic boolean, keyword string")
 
 
 def code_fence_symbols(chunks: DataFrame) -> DataFrame:
@@ -78,33 +89,42 @@ def dotted_identifiers(chunks: DataFrame) -> DataFrame:
     return path.select("library_id", "version", F.explode(F.array_union(F.array("path"), pairs)).alias("name")).distinct()
 
 
-def extract(chunks: DataFrame, profiles: DataFrame | None = None, fences: DataFrame | None = None, mentions: DataFrame | None = None, threshold: int = 3) -> DataFrame:
-    """One row per chunk and token: id, pos, the token, reason (null if kept) and kind.
-
-    profiles: (library_id, version, likely_symbols, stoplist, types, methods).  Known
-    fence symbols and mention counts are joined by name, as the token needs them.
-    """
-    rows = chunks.select("library_id", "version", "id", F.posexplode(tokenize("content")).alias("pos", "t")).select("library_id", "version", "id", "pos", "t.*")
-    key = ["library_id", "version"]
+def decided(shapes: DataFrame, profiles: DataFrame | None = None, fences: DataFrame | None = None, mentions: DataFrame | None = None, threshold: int = 3) -> DataFrame:
+    """Reason (null if kept) and kind of each distinct token of a library version; context is joined by name and by leaf."""
+    rows = shapes
     if profiles is None:
         none = F.array().cast("array<string>")
         rows = rows.withColumns({"likely_symbols": none, "stoplist": none, "types": F.lit(""), "methods": F.lit("")})
     else:
-        rows = rows.join(profiles.select(*key, "likely_symbols", F.transform("stoplist", F.lower).alias("stoplist"), "types", "methods"), key, "left")
+        rows = rows.join(profiles.select(*KEY, "likely_symbols", F.transform("stoplist", F.lower).alias("stoplist"), "types", "methods"), KEY, "left")
     fenced: Column = F.lit(False)
     mention_name = mention_leaf = F.lit(0)
     if fences is not None:
         for c in ("name", "leaf"):
-            rows = rows.join(fences.select(*key, F.col("name").alias(c), F.lit(True).alias(f"fence_{c}")), [*key, c], "left")
+            rows = rows.join(fences.select(*KEY, F.col("name").alias(c), F.lit(True).alias(f"fence_{c}")), [*KEY, c], "left")
         fenced = F.coalesce("fence_name", "fence_leaf", F.lit(False))
     if mentions is not None:
         for c in ("name", "leaf"):
-            rows = rows.join(mentions.select(*key, F.col("name").alias(c), F.col("mentions").alias(f"mention_{c}")), [*key, c], "left")
+            rows = rows.join(mentions.select(*KEY, F.col("name").alias(c), F.col("mentions").alias(f"mention_{c}")), [*KEY, c], "left")
         mention_name, mention_leaf = F.col("mention_name"), F.col("mention_leaf")
     likely = F.coalesce(F.array_contains("likely_symbols", F.col("name")) | F.array_contains("likely_symbols", F.col("leaf")), F.lit(False))
     reason = X.rejection_reason(F.col("name"), F.col("leaf"), F.col("container"), F.col("keyword").isNotNull(), F.col("callable"), F.col("generic"), likely, fenced, mention_name, mention_leaf, F.col("stoplist"), threshold)
     kind = X.symbol_kind(F.col("keyword"), F.col("callable"), F.col("generic"), F.col("container"), likely, F.col("leaf"), F.col("types"), F.col("methods"))
-    return rows.withColumn("reason", reason).withColumn("kind", F.when(F.col("reason").isNull(), kind)).select("library_id", "version", "id", "pos", "name", "leaf", "container", "reason", "kind")
+    return rows.withColumn("reason", reason).withColumn("kind", F.when(F.col("reason").isNull(), kind)).select(*KEY, *SHAPE, "reason", "kind")
+
+
+def extract(chunks: DataFrame, profiles: DataFrame | None = None, fences: DataFrame | None = None, mentions: DataFrame | None = None, threshold: int = 3) -> DataFrame:
+    """One row per chunk and token: id, pos, the token, reason (null if kept) and kind.
+
+    profiles: (library_id, version, likely_symbols, stoplist, types, methods).  Context is
+    looked up once for each distinct token of a library version, not at each of its places.
+    """
+    rows = cut(tokens(chunks))
+    shapes = rows.groupBy(*KEY, *SHAPE).agg(F.first("leaf").alias("leaf"), F.first("container").alias("container"))
+    known = cut(decided(shapes, profiles, fences, mentions, threshold))
+    same = lambda c: F.coalesce(F.col(c), F.lit(""))  # noqa: E731  a token without a declaring word
+    out = rows.withColumn("k", same("keyword")).join(known.withColumn("k", same("keyword")).drop("keyword"), [*KEY, "name", "callable", "generic", "k"])
+    return out.select("library_id", "version", "id", "pos", "name", "leaf", "container", "reason", "kind")
 
 
 def per_chunk(tokens: DataFrame) -> DataFrame:
@@ -140,20 +160,33 @@ def sample_windows(contents: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([None if c is None or not t else sample_window(c, t) for c, t in zip(contents, tokens, strict=True)], dtype=object)
 
 
+def numbered(chunks: DataFrame) -> DataFrame:
+    """(library_id, version, id, ix): chunks numbered from 0 by id within a library version.
+
+    Ids alone are range partitioned, so a large version is numbered by many tasks: a number is the
+    place within a part plus the version's rows in the parts before.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(chunks.select(*KEY, "id").repartitionByRange(n, *KEY, "id").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy(*KEY, "part").agg(F.count("*").alias("n"))  # a row per version and part it touches
+    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*KEY, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("id")) - 1
+    return parts.withColumn("place", place).join(offsets, [*KEY, "part"]).select(*KEY, "id", (F.col("place") + F.col("before")).alias("ix"))
+
+
 def excluded(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rejected names with first reason, number of chunks, and a sample from each third of the chunks.
 
     Chunks are numbered by id within a library version; the thirds come from that number.
     """
-    key = ["library_id", "version"]
-    total = chunks.groupBy(*key).agg(F.count("*").alias("total"))
-    numbered = chunks.select(*key, "id", "content").withColumn("ix", F.row_number().over(Window.partitionBy(*key).orderBy("id")) - 1)
-    rejected = tokens.where("reason is not null").groupBy(*key, "id", "name").agg(F.min(F.struct("pos", "reason")).alias("r"))
-    rows = rejected.join(numbered.select(*key, "id", "ix"), [*key, "id"]).join(total, key)
+    total = chunks.groupBy(*KEY).agg(F.count("*").alias("total"))
+    rejected = tokens.where("reason is not null").groupBy(*KEY, "id", "name").agg(F.min(F.struct("pos", "reason")).alias("r"))
+    rows = rejected.join(numbered(chunks), [*KEY, "id"]).join(total, KEY)
     bucket = F.least(F.floor(F.col("ix") / F.greatest(F.floor(F.col("total") / 3), F.lit(1))), F.lit(2)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    facts = rows.groupBy(*key, "name").agg(F.min_by("r.reason", "ix").alias("reason"), F.count("*").alias("chunk_count"))
-    firsts = rows.groupBy(*key, "name", "bucket").agg(F.min_by("id", "ix").alias("id"))
-    samples = firsts.join(numbered.select(*key, "id", "content"), [*key, "id"]).withColumn("sample", sample_windows("content", "name"))
-    samples = samples.groupBy(*key, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "sample"))), lambda x: x["sample"]).alias("sample_sentences"))
-    return facts.join(samples, [*key, "name"], "left")
+    rows = cut(rows.select(*KEY, "name", "id", "ix", "r.reason", bucket.alias("bucket")))
+    facts = rows.groupBy(*KEY, "name").agg(F.min_by("reason", "ix").alias("reason"), F.count("*").alias("chunk_count"))
+    firsts = rows.groupBy(*KEY, "name", "bucket").agg(F.min_by("id", "ix").alias("id"))
+    samples = firsts.join(chunks.select(*KEY, "id", "content"), [*KEY, "id"]).withColumn("sample", sample_windows("content", "name"))
+    samples = samples.groupBy(*KEY, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "sample"))), lambda x: x["sample"]).alias("sample_sentences"))
+    return facts.join(samples, [*KEY, "name"], "left")

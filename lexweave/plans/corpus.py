@@ -13,7 +13,8 @@ from .tables import MANIFESTS, NOW, now, profile_rows
 
 
 def posted(s, d):
-    return lexical.postings(bind.chunks(s, d))
+    """All postings of the stored index."""
+    return bind.index(s, d).postings()
 
 
 @query("a1_counts", "SELECT p.library_id, p.pages, c.chunks FROM (SELECT library_id, count(*) AS pages FROM pages_t GROUP BY ALL) p JOIN (SELECT library_id, count(*) AS chunks FROM chunks_t GROUP BY ALL) c USING (library_id)")
@@ -41,7 +42,7 @@ def a4(s, d):
 
 @query("a5_bm25_term_freq", "SELECT chunk_id, term, term_frequency FROM postings_t")
 def a5(s, d):
-    return posted(s, d).select("chunk_id", "term", "term_frequency")
+    return lexical.postings(bind.chunks(s, d)).select("chunk_id", "term", "term_frequency")
 
 
 @query("a6_bm25_doc_length", "SELECT chunk_id, doc_length FROM lengths_t")
@@ -69,8 +70,7 @@ sc AS (SELECT q.query_id, p.chunk_id, sum(ln((s.document_count - f.df + 0.5) / (
 
 def scored(s, d):
     q = bind.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    c = bind.chunks(s, d)
-    return lexical.score(lexical.postings(c), lexical.lengths_of(c), q)
+    return bind.index(s, d).score(q)
 
 
 @query("a9_bm25_score", SCORE + "SELECT query_id, chunk_id, round(bm25, 5) AS bm25 FROM sc")
@@ -168,8 +168,8 @@ def a21(s, d):
 
 @query("j1_postings_doc_lengths", "SELECT p.chunk_id, p.term, l.doc_length FROM postings_t p LEFT JOIN lengths_t l USING (chunk_id)")
 def j1(s, d):
-    c = bind.chunks(s, d)
-    return lexical.postings(c).join(lexical.lengths_of(c).select("chunk_id", "doc_length"), "chunk_id", "left").select("chunk_id", "term", "doc_length")
+    i = bind.index(s, d)
+    return i.postings().join(i.lengths().select("chunk_id", "doc_length"), "chunk_id", "left").select("chunk_id", "term", "doc_length")
 
 
 @query("j2_query_terms_postings", "WITH q AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]+'))) AS term FROM benchmark) SELECT chunk_id, term, term_frequency FROM postings_t SEMI JOIN q USING (term)")
@@ -188,9 +188,7 @@ def query_vector(s, d):
 
 
 def hybrid(s, d, k=5):
-    c = bind.chunks(s, d, vectors=True)
-    p = lexical.postings(c)
-    return search.search(c, p, lexical.lengths_of(c), TEXT, query_vector(s, d), k)
+    return search.search(bind.chunks(s, d, vectors=True), bind.index(s, d), TEXT, query_vector(s, d), k)
 
 
 ONE = f"""
@@ -207,8 +205,7 @@ mix AS (SELECT t.id, t.category, vector_score, coalesce(bm25, 0) / (SELECT max(b
 def j3(s, d):
     c = bind.chunks(s, d, vectors=True)
     hits = search.vector_topk(c, query_vector(s, d), 10)
-    b = lexical.score(lexical.postings(c), lexical.lengths_of(c), s.createDataFrame([("q", TEXT)], "query_id string, query string"))
-    return search.blend(hits, b).select("id", F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"))
+    return search.blend(hits, bind.index(s, d).score_text(TEXT)).select("id", F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @query("j4_rerank_hybrid", ONE + ", r AS (SELECT id, .6 * vector_score + .4 * bm25_score AS h FROM mix ORDER BY h DESC, id LIMIT 5), n AS (SELECT id, h, 1 - 0.01 * (row_number() OVER (ORDER BY h DESC, id) - 1) AS rr FROM r) SELECT id, round(.6 * rr + .4 * h, 6) AS relevance FROM n")
@@ -319,7 +316,7 @@ def c6(s, d):
 
 @query("p10_tokenize_identifiers")
 def p10(s, d):
-    return bind.chunks(s, d).select("id", F.posexplode(Y.tokenize("content")).alias("pos", "t")).select("id", "pos", "t.*")
+    return Y.tokens(bind.chunks(s, d)).drop("library_id", "version")
 
 
 @query("c7_extract_symbols")

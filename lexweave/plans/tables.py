@@ -8,7 +8,6 @@ from ..operators import symbols as Y
 from ..sources import bind, readers
 from . import fixtures as G
 from .catalog import query
-from .scalars import shard_of
 
 LIB, VER = "src1", "2.0"
 NOW = "(SELECT max(created_at) FROM jobs_t)"
@@ -46,11 +45,7 @@ def s5(s, d):
 
 @query("s6_shard_scan", "SELECT library_id, term, chunk_id, term_frequency FROM postings_t WHERE term IN ('idiot', 'the', 'Hereth')")
 def s6(s, d):
-    from ..operators import lexical
-
-    p = lexical.sharded(lexical.postings(bind.chunks(s, d)))
-    shards = [int(x) for x in {shard_of(t) for t in ("idiot", "the", "Hereth")}]
-    return p.where(F.col("shard_index").isin(shards) & F.col("term").isin("idiot", "the", "Hereth")).select("library_id", "term", "chunk_id", "term_frequency")
+    return bind.index(s, d).postings(["idiot", "the", "Hereth"]).select("library_id", "term", "chunk_id", "term_frequency")
 
 
 @query("s10_registry_source", "SELECT * FROM (VALUES ('react', 'https://react.dev', 'https://github.com/facebook/react', NULL), ('requests', 'https://psf.io', 'https://github.com/psf/requests', 'https://requests.readthedocs.io')) AS t(package_id, project_url, repository_url, documentation_url)")
