@@ -74,9 +74,50 @@ def crawl(links: DataFrame, root: str, excluded: list[str] | None = None, visite
     return seen
 
 
-def report(pages: DataFrame) -> DataFrame:
-    """Counts of a crawl's pages by host and depth."""
-    return pages.groupBy(F.coalesce(U.host(F.col("url")), F.lit("(unknown)")).alias("host"), F.greatest("in_depth", "same_depth", "off_depth").alias("depth")).agg(F.count("*").alias("pages"))
+def fetch_order(pages: DataFrame) -> DataFrame:
+    """Adds ``place``: level by level, pages in scope before others, then by address; of a crawl's pages.
+
+    Addresses are range partitioned, so no task sees them all: a place is that within a part plus the parts before.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rank = F.when(F.col("scope") == "in", 0).when(F.col("scope") == "same", 1).otherwise(2)
+    # a page out of scope hangs below one in scope of the same depth
+    keys = [F.col("in_depth") * 2 + F.col("same_depth") + F.col("off_depth"), rank, F.lower("url")]
+    rows = pages.select("*", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    parts = cut(rows.repartitionByRange(n, "k0", "k1", "k2").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row per part
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("k0", "k1", "k2"))
+    return parts.withColumn("place", place).join(F.broadcast(before), "part").select(*pages.columns, (F.col("place") + F.col("before")).alias("place"))
+
+
+def report(links: DataFrame, pages: DataFrame, excluded: list[str] | None = None, first: int = 50, pending: int = 30) -> DataFrame:
+    """A dry run as rows (part, name, n): pages in and out of scope, by depth and by host; the first pages; links
+    that are not allowed, and links beyond the depth limits with the first of them; repositories.
+
+    links: (src, link) of the site, pages: what ``crawl`` made of them.  Links count by address in any case.
+    """
+    total = lambda part, rows: rows.agg(F.lit(part).alias("part"), F.lit("").alias("name"), F.count("*").alias("n"))
+    each = lambda part, rows, name: rows.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "name", "n")
+    one = lambda part, rows: rows.select(F.lit(part).alias("part"), "name", F.lit(1).cast("long").alias("n"))
+    pages = cut(pages.withColumn("name", F.lower("url")))
+    inside = F.col("scope") == "in"
+    known = pages.select("name")
+    to = links.join(known, F.lower("src") == F.col("name"), "left_semi").select("link", F.lower("link").alias("name")).dropDuplicates(["name"])
+    allowed = U.url_allowed(F.col("link"), [], fixed.EXCLUDED_URLS if excluded is None else excluded)
+    beyond = to.where(allowed).join(known, "name", "left_anti")
+    repo = U.github_repo(F.col("url"))
+    parts = [
+        total("in scope", pages.where(inside)), total("out of scope", pages.where(~inside)),
+        each("depth", pages, F.greatest("in_depth", "same_depth", "off_depth").cast("string")), each("host", pages, F.coalesce(U.host(F.col("url")), F.lit("(unknown)"))),
+        one("page", pages.orderBy(F.when(inside, 0).otherwise(1), F.greatest("in_depth", "same_depth", "off_depth"), "name").limit(first)),
+        total("not allowed", to.where(~allowed)), total("beyond depth", beyond), one("pending", beyond.orderBy("name").limit(pending)),
+        one("repository", pages.where(repo.isNotNull()).select(F.concat_ws("/", repo["owner"], repo["name"]).alias("name")).where("name <> ''").distinct()),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 class Limiter:

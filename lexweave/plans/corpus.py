@@ -1,15 +1,20 @@
 """Queries of aggregates, joins, search, symbols, versions and decisions (A, J, O, C, V, T, P)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
-from ..operators import chunking, crawl, deps, lexical, profiling, search, versions
+from ..functions import url as U
+from ..operators import chunking, crawl, deps, lexical, profiling, search, store, versions
 from ..operators import symbols as Y
+from ..session import cut, drop_folder, shared_folder
 from ..sources import bind
 from . import fixtures as G
 from .catalog import query
-from .tables import MANIFESTS, NOW, now, profile_rows
+from .scalars import ASKED, SAID, SHARD, asked, reply
+from .tables import ISSUES, KEEP, MANIFESTS, NOW, PACKAGES, now, packages, profiles
 
 
 def posted(s, d):
@@ -78,9 +83,9 @@ def a9(s, d):
     return scored(s, d).withColumn("bm25", F.round("bm25", 5))
 
 
-@query("a10_bm25_shard_sizes")
+@query("a10_bm25_shard_sizes", f"SELECT {SHARD} AS shard_index, count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings FROM (SELECT term, count(*) AS n FROM postings_t GROUP BY term) GROUP BY 1")
 def a10(s, d):
-    return lexical.shard_sizes(posted(s, d))
+    return lexical.shard_sizes(posted(s, d).drop("shard_index"))
 
 
 MENTIONS = "SELECT library_id, w AS name, count(*) AS mentions FROM (SELECT library_id, unnest(regexp_split_to_array(content, '[^\\p{L}\\p{M}\\p{N}_]+')) AS w FROM chunks_t) WHERE regexp_full_match(w, '[A-Z][A-Za-z0-9_]+') GROUP BY ALL"
@@ -101,12 +106,12 @@ def a12(s, d):
     return Y.excluded(tokens(s, d), bind.chunks(s, d))
 
 
-STATUS = f"""(SELECT package_id, CASE WHEN lower(package_id) LIKE 'system.%' OR lower(package_id) LIKE 'eslint%' OR lower(package_id) LIKE '@types/%' OR lower(package_id) LIKE 'pytest%' THEN 'Filtered' WHEN l.id IS NULL THEN 'Unresolved' WHEN list_contains(l.all_versions, version) THEN 'Cached' ELSE 'CachedDifferentVersion' END AS status FROM {G.DEPENDENCIES.sql} x LEFT JOIN libraries_t l ON lower(l.id) = lower(x.package_id))"""
+STATUS = f"""(SELECT package_id, CASE WHEN NOT ({KEEP}) THEN 'Filtered' WHEN l.id IS NULL THEN 'Unresolved' WHEN list_contains(l.all_versions, version) THEN 'Cached' ELSE 'CachedDifferentVersion' END AS status FROM {PACKAGES} x LEFT JOIN libraries_t l ON lower(l.id) = lower(x.package_id))"""
 
 
 @query("a13_dependency_report", f"SELECT count(*) AS total, count_if(status = 'Filtered') AS filtered, count_if(status = 'Cached') AS cached, count_if(status = 'CachedDifferentVersion') AS different, count_if(status = 'Unresolved') AS unresolved FROM {STATUS}")
 def a13(s, d):
-    return deps.dependency_report(deps.with_status(G.DEPENDENCIES.frame(s), bind.libraries(s, d)))
+    return deps.dependency_report(deps.with_status(packages(s, d), bind.libraries(s, d)))
 
 
 @query("a14_dashboard", f"SELECT (SELECT count(*) FROM libraries_t) AS libraries, (SELECT count(*) FROM versions_t) AS versions, (SELECT least(count_if(suspect), 20) FROM versions_t) AS suspects, (SELECT count_if(status = 'Running' AND coalesce(last_progress_at, created_at) < {NOW} - INTERVAL 4 HOUR) FROM jobs_t) AS stale_jobs, 'review suspect libraries' AS suggested_action")
@@ -115,14 +120,20 @@ def a14(s, d):
     return profiling.dashboard(bind.libraries(s, d), bind.versions(s, d), j, F.col("now"))
 
 
-@query("a15_library_health", "SELECT v.id, v.page_count, CASE WHEN boundary_issue_pct >= 10 THEN 'rechunk recommended' WHEN boundary_issue_pct >= 5 THEN 'rechunk may help' END AS hint, m.languages, m.hosts FROM versions_t v LEFT JOIN (SELECT library_id, string_agg(language || '=' || printf('%.3f', share), ';' ORDER BY language || '=' || printf('%.3f', share)) AS languages, 1 AS hosts FROM (SELECT library_id, language, n / sum(n) OVER (PARTITION BY library_id) AS share FROM (SELECT library_id, coalesce(code_language, 'unfenced') AS language, count(*) AS n FROM chunks_t GROUP BY ALL)) GROUP BY library_id) m ON m.library_id = v.library_id AND v.version = '2.0'")
+@query("a15_library_health", "SELECT v.id, v.page_count, CASE WHEN boundary_issue_pct >= 10 THEN 'rechunk recommended' WHEN boundary_issue_pct >= 5 THEN 'rechunk may help' END AS hint, m.languages, h.hosts FROM versions_t v LEFT JOIN (SELECT library_id, string_agg(language || '=' || printf('%.3f', share), ';' ORDER BY language || '=' || printf('%.3f', share)) AS languages FROM (SELECT library_id, language, n / sum(n) OVER (PARTITION BY library_id) AS share FROM (SELECT library_id, coalesce(code_language, 'unfenced') AS language, count(*) AS n FROM chunks_t GROUP BY ALL)) GROUP BY library_id) m ON m.library_id = v.library_id AND v.version = '2.0' LEFT JOIN (SELECT library_id, count(DISTINCT CASE WHEN doc_id % 9 = 0 THEN '(unknown)' ELSE 'h' || (doc_id % 4) || '.example.com' END) AS hosts FROM chunks_t GROUP BY ALL) h ON h.library_id = v.library_id AND v.version = '2.0'")
 def a15(s, d):
-    return profiling.health(bind.versions(s, d), bind.chunks(s, d)).select("id", "page_count", "hint", "languages", "hosts")
+    """Chunks stand on pages of several hosts, some of none."""
+    url = F.when(F.col("doc_id") % 9 == 0, F.lit("no address")).otherwise(F.concat(F.lit("https://H"), F.col("doc_id") % 4, F.lit(".example.com/x/"), "doc_id"))
+    return profiling.health(bind.versions(s, d), bind.chunks(s, d).withColumn("page_url", url)).select("id", "page_count", "hint", "languages", "hosts")
 
 
-@query("a16_boundary_pct", "SELECT id, 100.0 * page_count / greatest(chunk_count, 1) AS pct FROM versions_t")
+@query("a16_boundary_pct", f"SELECT p.library_id, 100.0 * count(i.next_chunk_id) / greatest(p.chunks, 1) AS pct FROM (SELECT library_id, count(*) AS chunks FROM pieces_t GROUP BY ALL) p LEFT JOIN ({ISSUES}) i ON i.library_id = p.library_id GROUP BY p.library_id, p.chunks")
 def a16(s, d):
-    return bind.versions(s, d).select("id", profiling.boundary_pct(F.col("page_count"), F.col("chunk_count")).alias("pct"))
+    """Share of cuts that the audit finds, by library."""
+    c = bind.pieces(s, d).drop("i")
+    issues = chunking.boundary_issues(c).groupBy("library_id").agg(F.count("*").alias("issues"))
+    n = c.groupBy("library_id").agg(F.count("*").alias("chunks")).join(issues, "library_id", "left")
+    return n.select("library_id", profiling.boundary_pct(F.coalesce("issues", F.lit(0)), F.col("chunks")).alias("pct"))
 
 
 GRAPH = [("https://a.com/g/", "https://a.com/g/1"), ("https://a.com/g/", "https://a.com/other"), ("https://a.com/g/1", "https://a.com/g/2"), ("https://a.com/g/2", "https://a.com/g/"), ("https://a.com/other", "https://a.com/deep"), ("https://a.com/deep", "https://a.com/deeper"), ("https://a.com/g/2", "https://b.org/x"), ("https://b.org/x", "https://c.org/y"), ("https://a.com/g/1", "https://a.com/g/file.pdf"), ("https://a.com/g/1", "https://A.com/g/2"), ("https://a.com/g/1", "https://a.com/login/x")]
@@ -132,13 +143,39 @@ def graph(s):
     return s.createDataFrame(GRAPH, "src string, link string")
 
 
+#: A walk that leaves its scope and comes back, as far as the depth limits reach and further.
+WALK = [f"https://l.com/{'in/' if i % 2 == 0 else ''}{i:02}" for i in range(26)]
+
+
+def walk(s):
+    return s.createDataFrame(list(zip(WALK, WALK[1:], strict=False)), "src string, link string")
+
+
+ROOT = "https://site.com/page/0"
+
+
+def site(s, d):
+    """One site of the html pages: a page links to the names that its links have, a name to all pages that link to it."""
+    p = bind.html_links(s, d).select(F.concat(F.lit("https://site.com/page/"), "page_id").alias("page"), F.concat(F.lit("https://site.com"), F.regexp_replace("href", r"^https?://[^/]*|[?#].*$", "")).alias("name")).distinct()
+    return p.select(F.col("page").alias("src"), F.col("name").alias("link")).unionByName(p.select(F.col("name").alias("src"), F.col("page").alias("link")))
+
+
+def barred(s, d):
+    """Links that a job leaves out: files and addresses of excluded kinds."""
+    p = bind.read(s, d, "pages").select("page_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("/f.pdf", "/login/x", "/cart/1")]), (F.col("page_id") % 3 + 1).cast("int"))
+    return p.select(F.lit(ROOT).alias("src"), F.concat(F.lit("https://site.com/"), F.col("page_id") % 40, kind).alias("link")).distinct()
+
+
+SITE = """WITH RECURSIVE e AS (SELECT DISTINCT lower(src) AS a, lower(link) AS b FROM site_t), b AS (SELECT 'https://site.com/page/0' AS url, 0 AS step UNION SELECT e.b, b.step + 1 FROM b JOIN e ON e.a = b.url WHERE b.step < 20), r AS (SELECT url, CAST(min(step) AS INTEGER) AS step FROM b GROUP BY url)"""
 REACHED = "(VALUES ('https://a.com/g/', 'in', 0, 0, 0), ('https://a.com/g/1', 'in', 1, 0, 0), ('https://a.com/other', 'same', 0, 1, 0), ('https://A.com/g/2', 'in', 2, 0, 0), ('https://a.com/deep', 'same', 0, 2, 0), ('https://b.org/x', 'off', 2, 0, 1))"
 
 
-@query("a17_dry_run_report", "SELECT * FROM (VALUES ('a.com', 0, 1), ('a.com', 1, 2), ('a.com', 2, 2)) AS t(host, depth, pages)")
+@query("a17_dry_run_report", SITE + " SELECT * FROM (SELECT 'in scope' AS part, '' AS name, count(*) AS n FROM r WHERE step % 2 = 0 UNION ALL SELECT 'out of scope', '', count(*) FROM r WHERE step % 2 = 1 UNION ALL SELECT 'depth', CAST(CASE WHEN step % 2 = 0 THEN step // 2 ELSE greatest(step // 2, 1) END AS VARCHAR), count(*) FROM r GROUP BY 2 UNION ALL SELECT 'host', 'site.com', count(*) FROM r UNION ALL SELECT * FROM (SELECT 'page', url, 1 FROM r ORDER BY step % 2, CASE WHEN step % 2 = 0 THEN step // 2 ELSE greatest(step // 2, 1) END, url LIMIT 50) UNION ALL SELECT 'not allowed', '', count(*) FROM (SELECT DISTINCT lower(link) FROM barred_t) UNION ALL SELECT 'beyond depth', '', 0)")
 def a17(s, d):
-    g = graph(s).where("src not like '%g/2'")
-    return crawl.report(crawl.crawl(g, "https://a.com/g/"))
+    """Of a site made of the pages' links, with some links that the job leaves out."""
+    g = site(s, d).unionByName(barred(s, d))
+    return crawl.report(g, crawl.crawl(g, ROOT))
 
 
 @query("a18_errors_by_kind", "SELECT event_type, id, n FROM (SELECT event_type, event_id AS id, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 5")
@@ -156,9 +193,12 @@ def a19(s, d):
     return bind.versions(s, d).where("library_id = 'src1'").select("library_id", "version", "page_count", "chunk_count")
 
 
-@query("a20_rescrub_hint", "SELECT id, page_count >= 20 AND page_count / greatest(page_count + chunk_count, 1) >= 0.05 AS hint FROM versions_t")
+@query("a20_rescrub_hint", "WITH w AS (SELECT DISTINCT library_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM chunks_t), k AS (SELECT library_id, count_if(length(name) < 4) AS excluded, count_if(length(name) >= 4) AS kept FROM w GROUP BY ALL) SELECT library_id, excluded >= 20 AND excluded / greatest(excluded + kept, 1) >= 0.05 AS hint FROM k")
 def a20(s, d):
-    return bind.versions(s, d).select("id", profiling.rescrub_hint(F.col("page_count"), F.col("chunk_count")).alias("hint"))
+    """Distinct names of a library, short ones rejected."""
+    w = bind.chunks(s, d).select("library_id", F.explode(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name")).distinct()
+    k = w.groupBy("library_id").agg(F.count_if(F.length("name") < 4).alias("excluded"), F.count_if(F.length("name") >= 4).alias("kept"))
+    return k.select("library_id", profiling.rescrub_hint(F.col("excluded"), F.col("kept")).alias("hint"))
 
 
 @query("a21_posting_bytes", "SELECT term, CAST(sum(length(chunk_id) + 12) AS BIGINT) AS bytes, sum(length(chunk_id) + 12) > 1048576 AS spills FROM postings_t GROUP BY term")
@@ -221,16 +261,16 @@ def j5(s, d):
 
 @query("j6_dependencies_libraries", f"SELECT package_id, status FROM {STATUS}")
 def j6(s, d):
-    return deps.with_status(G.DEPENDENCIES.frame(s), bind.libraries(s, d)).select("package_id", "status")
+    return deps.with_status(packages(s, d), bind.libraries(s, d)).select("package_id", "status")
 
 
 CLIENTS = G.Given("ecosystem string, client string", [("NuGet", "nuget-client"), ("npm", "npm-client"), ("PIP", "pip-client")])
 
 
-@query("j7_dependency_clients", f"SELECT package_id, version, client FROM {G.DEPENDENCIES.sql} x JOIN {CLIENTS.sql} c ON lower(c.ecosystem) = lower(x.ecosystem_id)")
+@query("j7_dependency_clients", f"SELECT package_id, version, client FROM {PACKAGES} x JOIN {CLIENTS.sql} c ON lower(c.ecosystem) = lower(x.ecosystem_id)")
 def j7(s, d):
     c = F.broadcast(CLIENTS.frame(s))  # one row per ecosystem
-    return G.DEPENDENCIES.frame(s).join(c, F.lower("ecosystem") == F.lower("ecosystem_id")).select("package_id", "version", "client")
+    return packages(s, d).join(c, F.lower("ecosystem") == F.lower("ecosystem_id")).select("package_id", "version", "client")
 
 
 @query("j8_token_context", f"WITH m AS ({MENTIONS}) SELECT library_id, sym_name AS name, max(mentions) AS mentions FROM chunks_t c LEFT JOIN m USING (library_id) WHERE m.name = c.sym_name GROUP BY ALL")
@@ -298,20 +338,34 @@ def c3(s, d):
     return search.overview(bind.chunks(s, d, vectors=True).where("library_id = 'src3'"), query_vector(s, d)).select("id")
 
 
-@query("c4_rerank_gate", "SELECT id, NOT (" + " OR ".join(f"regexp_matches(q, {G.literal(p)})" for p in fixed.SHAPES) + f") AND id >= 6 AS on_llm, FALSE AS on_off FROM {G.QUERIES.sql}")
+@query("c4_rerank_gate", "SELECT id, NOT (" + " OR ".join(f"regexp_matches(q, {G.literal(p)})" for p in fixed.SHAPES) + f") AND n >= 6 AS on_llm, FALSE AS on_off FROM (SELECT id, q, id % 12 AS n FROM ({ASKED}) UNION ALL SELECT -1 - id, q, id FROM {G.QUERIES.sql})")
 def c4(s, d):
-    g = lambda name: search.reranks(F.lit(name), F.col("q"), F.col("id"))
-    return G.QUERIES.frame(s).select("id", g("Llm").alias("on_llm"), g("Off").alias("on_off"))
+    g = lambda name: search.reranks(F.lit(name), F.col("q"), F.col("n"))
+    q = bind.read(s, d, "benchmark").select(F.col("item_id").alias("id"), asked(F.col("item_id"), F.col("text")).alias("q"), (F.col("item_id") % 12).alias("n"))
+    q = q.unionByName(G.QUERIES.frame(s).select((-1 - F.col("id")).cast("long").alias("id"), "q", F.col("id").cast("long").alias("n")))
+    return q.select("id", g("Llm").alias("on_llm"), g("Off").alias("on_off"))
 
 
-@query("c5_rerank_blend", f"SELECT id, round(.6 * least(coalesce(try_cast(regexp_extract(reply, '(\\d*\\.\\d+|\\d+)', 1) AS DOUBLE), 0), 1) + .4 * 0.5, 6) AS score FROM {G.SCORES.sql}")
+@query("c5_rerank_blend", f"SELECT id, round(.6 * least(coalesce(try_cast(regexp_extract(reply, '(\\d*\\.\\d+|\\d+)', 1) AS DOUBLE), 0), 1) + .4 * h, 6) AS score FROM (SELECT id, reply, (id % 11) / 10.0::DOUBLE AS h FROM ({SAID}) UNION ALL SELECT -1 - id, reply, 0.5 FROM {G.SCORES.sql})")
 def c5(s, d):
-    return G.SCORES.frame(s).select("id", F.round(search.rerank_blend(X.parse_score(F.col("reply")), F.lit(0.5)), 6).alias("score"))
+    rows = bind.read(s, d, "events").select(F.col("event_id").alias("id"), reply().alias("reply"), (F.col("event_id") % 11 / 10).alias("h"))
+    rows = rows.unionByName(G.SCORES.frame(s).select((-1 - F.col("id")).cast("long").alias("id"), "reply", F.lit(0.5).alias("h")))
+    return rows.select("id", F.round(search.rerank_blend(X.parse_score(F.col("reply")), F.col("h")), 6).alias("score"))
 
 
-@query("c6_rerankers")
+@query("c6_rerankers", ONE + """, t AS (SELECT id, .6 * vector_score + .4 * bm25_score AS h FROM mix ORDER BY h DESC, id LIMIT 5), k AS (SELECT t.id, h, c.doc_id, row_number() OVER (ORDER BY h DESC, t.id) AS r FROM t JOIN chunks_t c ON c.id = t.id)
+SELECT id, 'Off' AS strategy, round(1 - 0.01 * (r - 1), 6) AS rerank_score FROM k UNION ALL
+SELECT id, 'Llm', list_extract([1.0, 0.8, 0.5, 0.2, 0.0], CAST(doc_id % 5 + 1 AS BIGINT))::DOUBLE FROM k UNION ALL
+SELECT id, 'CrossEncoder', round((doc_id % 100) / 100.0, 6)::DOUBLE FROM k""")
 def c6(s, d):
-    return search.lexical_rerank(hybrid(s, d), TEXT).select("id", "relevance_score", "rerank_score")
+    """The best five, re-ranked by every strategy; the models' replies are saved ones, a word and a number for each chunk."""
+    hits = cut(hybrid(s, d))
+    n = F.col("doc_id")
+    word = F.element_at(F.array(*[F.lit(w) for w in ("PERFECT", "high", " Medium", "LOW", "none")]), (n % 5 + 1).cast("int"))
+    number = F.concat(F.lit("Relevance: 0."), F.lpad((n % 100).cast("string"), 2, "0"))
+    said = bind.chunks(s, d).join(F.broadcast(hits.select("id")), "id")
+    out = [search.rerank(hits, k, None if r is None else said.select("id", r.alias("reply"))).select("id", F.lit(k).alias("strategy"), F.round("rerank_score", 6).alias("rerank_score")) for k, r in (("Off", None), ("Llm", word), ("CrossEncoder", number))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("p10_tokenize_identifiers")
@@ -348,9 +402,14 @@ def c8(s, d):
 CHOICES = G.Given("id int, asked boolean, hash string, old string", [(0, True, "a", "a"), (1, None, "a", "b"), (2, None, "a", "a"), (3, None, "a", None), (4, False, "a", "b")])
 
 
-@query("c9_auto_reclassify", f"SELECT id, coalesce(asked, coalesce(hash <> old, FALSE)) AS again FROM {CHOICES.sql}")
+@query("c9_auto_reclassify", f"SELECT CAST(id AS VARCHAR) AS id, coalesce(asked, coalesce(hash <> old, FALSE)) AS again FROM {CHOICES.sql} UNION ALL SELECT url, CASE doc_id % 10 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE ELSE doc_id % 4 = 0 OR doc_id % 6 = 0 END FROM pages_t")
 def c9(s, d):
-    return CHOICES.frame(s).select("id", profiling.reclassifies(F.col("asked"), F.col("hash"), F.col("old"), F.lit("c1"), F.lit("c1")).alias("again"))
+    """Pages that are to be classified again: by choice, or as the profile or the classifier has changed; some have no manifest."""
+    n = F.col("doc_id")
+    old = F.when(n % 10 == 2, F.lit(None)).when(n % 4 == 0, F.lit("other")).otherwise(F.col("content_hash"))
+    p = bind.pages(s, d).select(F.col("url").alias("id"), F.when(n % 10 == 0, True).when(n % 10 == 1, False).alias("asked"), F.col("content_hash").alias("hash"), old.alias("old"), F.lit("c1").alias("c"), F.when(n % 6 == 0, "c0").otherwise("c1").alias("old_c"))
+    rows = CHOICES.frame(s).select(F.col("id").cast("string").alias("id"), "asked", "hash", "old", F.lit("c1").alias("c"), F.lit("c1").alias("old_c")).unionByName(p)
+    return rows.select("id", profiling.reclassifies(*[F.col(x) for x in ("asked", "hash", "old", "c", "old_c")]).alias("again"))
 
 
 @query("t1_chunk_pages")
@@ -368,10 +427,12 @@ def c10(s, d):
     return n.join(before, "library_id", "left").join(after, "library_id", "left").select("library_id", "chunks", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
-@query("t5_split_to_char_limit", "SELECT CAST(sum(length(content)) AS BIGINT) > 0 AS some, TRUE AS within FROM chunks_t")
+@query("t5_split_to_char_limit", "SELECT page_url, sum(length(regexp_replace(content, '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{85}\\x{1c}-\\x{1f}\\x{0b}]+', '', 'g')))::BIGINT AS letters, TRUE AS within, CAST(greatest(1, ceil(length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) / 2400.0)) AS BIGINT) <= 1 AS whole FROM chunks_t WHERE category <> 'ChangeLog' GROUP BY page_url, content")
 def t5(s, d):
-    c = chunking.chunk_pages(bind.pages(s, d))
-    return c.agg((F.sum(F.length("content")) > 0).alias("some"), (F.max(F.length("content")) <= 2400).alias("within"))
+    """By page: what is left of its letters when white space is taken out, whether each piece keeps the limit, and whether a page within it stays whole."""
+    c = chunking.chunk_pages(bind.pages(s, d).where("category <> 'ChangeLog'"))
+    bare = F.regexp_replace("content", r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}\x{0b}]+", "")
+    return c.groupBy("page_url").agg(F.sum(F.length(bare)).alias("letters"), (F.max(F.length("content")) <= 2400).alias("within"), (F.count("*") == 1).alias("whole"))
 
 
 @query("t6_explode_symbols", "SELECT id, sym_name AS name, sym_kind AS kind FROM chunks_t")
@@ -379,23 +440,31 @@ def t6(s, d):
     return bind.chunks(s, d).select("id", F.inline("symbols")).drop("container")
 
 
-@query("c11_suspect_reasons", "SELECT library_id, concat_ws(',', CASE WHEN pages <= 3 THEN 'OnePager' END, CASE WHEN links < 10 THEN 'SparseLinkGraph' END, CASE WHEN n > 1 THEN 'SingleHost' END, CASE WHEN mx < 0.3 THEN 'LanguageMismatch' END) AS reasons FROM (SELECT library_id, sum(c) AS pages, sum(c) % 12 AS links, count(*) AS n, max(c / t) AS mx FROM (SELECT *, sum(c) OVER (PARTITION BY library_id) AS t FROM (SELECT library_id, lang, count(*) AS c FROM pages_t GROUP BY ALL)) GROUP BY library_id)")
+@query("c11_suspect_reasons", "WITH l AS (SELECT page_id % 20 AS k, page_id, url, regexp_extract(lower(url), '://([^/:?#]+)', 1) AS host FROM pages), x AS (SELECT k, count(*) AS pages, count(DISTINCT host) AS hosts FROM l GROUP BY k), y AS (SELECT page_id % 20 AS k, count(DISTINCT href) AS links FROM links_t GROUP BY 1), m AS (SELECT library_id, max(c / t) AS best, count(*) AS n FROM (SELECT library_id, lang, c, sum(c) OVER (PARTITION BY library_id) AS t FROM (SELECT library_id, lang, count(*) AS c FROM pages_t GROUP BY ALL)) GROUP BY library_id) SELECT m.library_id, concat_ws(',', CASE WHEN pages <= 3 THEN 'OnePager' END, CASE WHEN coalesce(links, 0) < 10 THEN 'SparseLinkGraph' END, CASE WHEN hosts = 1 AND n > 1 THEN 'SingleHost' END, CASE WHEN best < 0.3 THEN 'LanguageMismatch' END, CASE WHEN x.k % 5 = 0 THEN 'ReadmeOnly' END) AS reasons FROM m JOIN x ON m.library_id = 'src' || x.k LEFT JOIN y ON y.k = x.k")
 def c11(s, d):
+    """A library's site is a twentieth of the html pages: their number, hosts and links; its languages are those of its documents."""
+    h = bind.read(s, d, "pages").select((F.col("page_id") % 20).alias("k"), U.host(F.col("url")).alias("host")).groupBy("k").agg(F.count("*").alias("pages"), F.countDistinct("host").alias("hosts"))
+    links = bind.html_links(s, d).groupBy((F.col("page_id") % 20).alias("k")).agg(F.countDistinct("href").alias("links"))
     m = bind.pages(s, d).groupBy("library_id", "lang").agg(F.count("*").alias("c"))
-    f = m.groupBy("library_id").agg(F.sum("c").alias("pages"), (F.sum("c") % 12).alias("links"), F.collect_set("lang").alias("declared"), F.map_from_entries(F.collect_list(F.struct("lang", F.col("c").cast("double")))).alias("m"))
-    f = f.withColumn("mix", F.transform_values("m", lambda k, v: v / F.col("pages"))).withColumns({"hosts": F.lit(1), "root_url": F.lit("https://docs.example.com"), "sample_titles": F.array(F.lit("Intro"))})
+    m = m.groupBy("library_id").agg(F.sum("c").alias("t"), F.collect_set("lang").alias("declared"), F.map_from_entries(F.collect_list(F.struct("lang", F.col("c").cast("double")))).alias("m"))
+    f = m.withColumn("mix", F.transform_values("m", lambda k, v: v / F.col("t"))).join(h.join(links, "k", "left").withColumn("library_id", F.concat(F.lit("src"), "k")), "library_id")
+    hub = F.col("k") % 5 == 0
+    f = f.withColumns({"links": F.coalesce("links", F.lit(0)), "root_url": F.when(hub, "https://github.com/o/r").otherwise("https://docs.example.com"), "sample_titles": F.when(hub, F.array(F.lit("README"), F.lit("Readme.md"))).otherwise(F.array(F.lit("Intro")))})
     return profiling.suspect_reasons(f).select("library_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("c12_ingest_status", f"SELECT id, CASE WHEN running THEN 'InProgress' WHEN suspect THEN 'UrlSuspect' WHEN NOT profile THEN 'ReconNeeded' WHEN chunks = 0 THEN 'ReadyToScrape' WHEN stale THEN 'Stale' WHEN force THEN 'ReadyToScrape' ELSE 'Ready' END AS status FROM {G.STATES.sql}")
+@query("c12_ingest_status", f"SELECT id, CASE WHEN running THEN 'InProgress' WHEN suspect THEN 'UrlSuspect' WHEN NOT profile THEN 'ReconNeeded' WHEN chunks = 0 THEN 'ReadyToScrape' WHEN stale THEN 'Stale' WHEN force THEN 'ReadyToScrape' ELSE 'Ready' END AS status FROM (SELECT id, page_count % 7 = 0 AS running, suspect, page_count % 5 <> 0 AS profile, CASE WHEN page_count % 11 = 0 THEN 0 ELSE chunk_count END AS chunks, version = '1.0' AS stale, page_count % 3 = 0 AS force FROM versions_t UNION ALL SELECT CAST(id AS VARCHAR), running, suspect, profile, chunks, stale, force FROM {G.STATES.sql})")
 def c12(s, d):
-    c = [F.col(x) for x in ("running", "suspect", "profile", "chunks", "stale", "force")]
-    return G.STATES.frame(s).select("id", profiling.ingest_status(*c).alias("status"))
+    n = F.col("page_count")
+    v = bind.versions(s, d).select("id", (n % 7 == 0).alias("running"), "suspect", (n % 5 != 0).alias("profile"), F.when(n % 11 == 0, 0).otherwise(F.col("chunk_count")).alias("chunks"), (F.col("version") == "1.0").alias("stale"), (n % 3 == 0).alias("force"))
+    rows = v.unionByName(G.STATES.frame(s).withColumn("id", F.col("id").cast("string")))
+    return rows.select("id", profiling.ingest_status(*[F.col(x) for x in ("running", "suspect", "profile", "chunks", "stale", "force")]).alias("status"))
 
 
-@query("c13_build_bm25_index", "SELECT p.library_id, count(*) AS postings, count(DISTINCT p.term) AS terms, CAST(sum(p.term_frequency) AS BIGINT) AS tokens FROM postings_t p GROUP BY p.library_id")
+@query("c13_build_bm25_index", f"SELECT {SHARD} AS shard_index, count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(term_frequency) AS BIGINT) AS tokens FROM postings_t GROUP BY 1")
 def c13(s, d):
-    return posted(s, d).groupBy("library_id").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("term_frequency").alias("tokens"))
+    """The written shards: postings, terms and tokens of each."""
+    return posted(s, d).groupBy("shard_index").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("term_frequency").alias("tokens"))
 
 
 RESOLVED = "(VALUES ('Serilog', 'https://serilog.net', 'Medium'), ('doc', 'https://doc.dev/docs', 'High'), ('gh', 'https://github.com/a/gh', 'Medium'), ('react', 'https://react.dev', 'High'), ('left', 'https://github.com/x/left', 'Medium'), ('requests', 'https://requests.readthedocs.io', 'High'), ('plain', 'https://plain.org', 'Medium'), ('none', 'https://none.readthedocs.io', 'Low'))"
@@ -420,25 +489,38 @@ def c16(s, d):
 
 @query(
     "c17_retrieval_bench",
-    SCORE + """, g AS (SELECT q.query_id, c.id AS chunk_id, l.quality AS gain FROM (SELECT DISTINCT query_id FROM q) q, chunks_t c JOIN labels l USING (doc_id)),
+    SCORE + """, g AS (SELECT c.id AS chunk_id, l.quality AS gain FROM chunks_t c JOIN labels l USING (doc_id)),
+i AS (SELECT sum(gain / log2(r + 1)) AS ideal FROM (SELECT gain, row_number() OVER (ORDER BY gain DESC, chunk_id) AS r FROM g) WHERE r <= 5),
 r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS r FROM sc),
-dcg AS (SELECT r.query_id, sum(coalesce(gain, 0) / log2(r + 1)) AS x FROM r LEFT JOIN g USING (query_id, chunk_id) WHERE r <= 5 GROUP BY ALL)
-SELECT query_id, round(x / (1 + 1 / log2(3) + 0.5 + 1 / log2(5) + 1 / log2(6)), 6) AS ndcg FROM dcg""",
+dcg AS (SELECT r.query_id, sum(coalesce(gain, 0) / log2(r + 1)) AS x FROM r LEFT JOIN g USING (chunk_id) WHERE r <= 5 GROUP BY ALL)
+SELECT query_id, CASE WHEN ideal > 0 THEN round(x / ideal, 6) ELSE 0 END AS ndcg FROM dcg, i""",
 )
 def c17(s, d):
-    labels = bind.chunks(s, d).join(bind.read(s, d, "labels"), "doc_id").select("id", F.col("quality").alias("gain"))
+    """A label holds for every query of the set."""
+    gains = bind.chunks(s, d).join(bind.read(s, d, "labels"), "doc_id").select("id", F.col("quality").alias("gain"))
     ranked = scored(s, d).select("query_id", F.col("chunk_id").alias("id"), F.round("bm25", 9).alias("score"))
-    # every label holds for every query of the set, which has a stated, small number of queries
-    gains = bind.read(s, d, "benchmark").select(F.col("item_id").alias("query_id")).join(labels)
     return search.ndcg(ranked, gains).withColumn("ndcg", F.round("ndcg", 6))
 
 
-@query("c19_ingest_single_page")
+@query("c19_ingest_single_page", "SELECT 'chunks' AS part, count(*) + 2 AS n FROM chunks_t WHERE library_id = 'src1' UNION ALL SELECT 'pages', count(*) + 1 FROM pages_t WHERE library_id = 'src1' UNION ALL SELECT 'postings', count(*) + 4 FROM postings_t WHERE library_id = 'src1' UNION ALL SELECT 'found', 1")
 def c19(s, d):
-    """One page chunked and indexed beside the stored ones."""
+    """One page cut, upserted beside the stored ones twice, and the index built again: rows of each table, and the page found by a word of its own."""
     page = s.createDataFrame([("src1", "2.0", "doc://src1/new", "New", "HowTo", "# One\nAxis.Move(1)\n# Two\nmore")], "library_id string, version string, url string, title string, category string, raw_content string")
-    new = chunking.chunk_pages(page)
-    return posted(s, d).unionByName(lexical.postings(new)).where("library_id = 'src1'")
+    folder = f"{shared_folder(s)}/single-{uuid.uuid4().hex}"
+    catalog, index = store.Catalog(s, folder), lexical.Index(s, f"{folder}/index")
+    key = ["library_id", "version", "id", "content"]
+    catalog.append("pages", bind.pages(s, d).select(*page.columns))
+    catalog.append("chunks", bind.chunks(s, d).select(*key))
+    for _ in range(2):
+        catalog.upsert("pages", page, ["url"])
+        catalog.upsert("chunks", chunking.chunk_pages(page).select(*key), ["id"])
+    index.build(catalog.read("chunks"))
+    n = lambda part, rows: rows.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    mine = "library_id = 'src1'"
+    out = n("chunks", catalog.read("chunks").where(mine)).unionByName(n("pages", catalog.read("pages").where(mine))).unionByName(n("postings", index.postings().where(mine))).unionByName(n("found", index.score_text("Axis.Move")))
+    out = cut(out)
+    drop_folder(s, folder)
+    return out
 
 
 @query("v1_register_version", "SELECT id, CASE WHEN id = 'src1' THEN '3.0' ELSE '2.0' END AS current_version, CASE WHEN id = 'src1' THEN '1.0,2.0,3.0' ELSE '1.0,2.0' END AS versions FROM libraries_t UNION ALL SELECT 'fresh', '1.0', '1.0'")
@@ -480,21 +562,22 @@ def v7(s, d):
     return versions.set_suspect(v, "src0", "2.0", False).select("id", "suspect")
 
 
-@query("v8_add_to_likely", "SELECT * FROM (VALUES ('l', '1.0', 'One,KEEP', 'stop'), ('l', '2.0', 'Two,KEEP', 'later'), ('l', '3.0', 'KEEP', ''), ('m', '1.0', 'KEEP', '')) AS t(library_id, version, likely, stops)")
+@query("v8_add_to_likely", "SELECT library_id, version, array_to_string(list_append(likely_symbols, 'KEEP'), ',') AS likely, array_to_string(list_filter(stoplist, lambda x: lower(x) <> 'keep'), ',') AS stops FROM profiles_t UNION ALL SELECT * FROM (VALUES ('l', '1.0', 'One,KEEP', 'stop'), ('l', '2.0', 'Two,KEEP', 'later'), ('l', '3.0', 'KEEP', ''), ('m', '1.0', 'KEEP', '')) AS t(library_id, version, likely, stops)")
 def v8(s, d):
-    return versions.add_to_likely(profile_rows(s), ["KEEP"]).select("library_id", "version", F.array_join("likely_symbols", ",").alias("likely"), F.array_join("stoplist", ",").alias("stops"))
+    return versions.add_to_likely(profiles(s, d), ["KEEP"]).select("library_id", "version", F.array_join("likely_symbols", ",").alias("likely"), F.array_join("stoplist", ",").alias("stops"))
 
 
-@query("v9_add_to_stoplist", "SELECT * FROM (VALUES ('l', '1.0', '', 'stop,ONE'), ('l', '2.0', 'Two', 'later,Keep,STOP,ONE'), ('l', '3.0', '', 'STOP,ONE'), ('m', '1.0', '', 'STOP,ONE')) AS t(library_id, version, likely, stops)")
+@query("v9_add_to_stoplist", "SELECT library_id, version, array_to_string(list_filter(likely_symbols, lambda x: lower(x) <> 'one'), ',') AS likely, array_to_string(list_concat(stoplist, CASE WHEN list_contains(stoplist, 'stop') THEN ['ONE'] ELSE ['STOP', 'ONE'] END), ',') AS stops FROM profiles_t UNION ALL SELECT * FROM (VALUES ('l', '1.0', '', 'stop,ONE'), ('l', '2.0', 'Two', 'later,Keep,STOP,ONE'), ('l', '3.0', '', 'STOP,ONE'), ('m', '1.0', '', 'STOP,ONE')) AS t(library_id, version, likely, stops)")
 def v9(s, d):
-    p = versions.add_to_stoplist(profile_rows(s), ["STOP", "ONE"])
+    p = versions.add_to_stoplist(profiles(s, d), ["STOP", "ONE"])
     return p.select("library_id", "version", F.array_join("likely_symbols", ",").alias("likely"), F.array_join("stoplist", ",").alias("stops"))
 
 
-@query("v10_save_profile", "SELECT * FROM (VALUES ('l', '1.0', 'stop'), ('l', '2.0', 'later,Keep'), ('l', '3.0', 'mine'), ('m', '1.0', ''), ('m', '2.0', '')) AS t(library_id, version, stoplist)")
+@query("v10_save_profile", "SELECT library_id, version, CASE WHEN version = '1.0' THEN 'mine' WHEN len(stoplist) = 0 THEN 'mine' ELSE array_to_string(stoplist, ',') END AS stoplist FROM profiles_t UNION ALL SELECT * FROM (VALUES ('l', '1.0', 'mine'), ('l', '2.0', 'later,Keep'), ('l', '3.0', 'later,Keep'), ('m', '1.0', 'mine'), ('m', '2.0', 'mine')) AS t(library_id, version, stoplist)")
 def v10(s, d):
-    p = profile_rows(s)
-    new = p.where("version = '3.0'").withColumn("stoplist", F.array(F.lit("mine"))).unionByName(p.where("library_id = 'm'").withColumn("version", F.lit("2.0")))
+    """Every first version is saved anew with a stop list of its own; a new one without takes its library's newest."""
+    p = profiles(s, d)
+    new = p.where("version = '1.0'").withColumn("stoplist", F.array(F.lit("mine"))).unionByName(p.where("library_id = 'm'").withColumn("version", F.lit("2.0")))
     return versions.save_profile(p, new).select("library_id", "version", F.array_join("stoplist", ",").alias("stoplist"))
 
 
@@ -520,28 +603,34 @@ def w6(s, d):
     return crawl.limit_hosts(log)
 
 
-@query("w8_bfs_child_depth", f"SELECT * FROM {REACHED} AS t(url, scope, in_depth, same_depth, off_depth)")
+@query("w8_bfs_child_depth", SITE + " SELECT url, CASE WHEN step % 2 = 0 THEN 'in' ELSE 'same' END AS scope, step // 2 AS in_depth, step % 2 AS same_depth, 0 AS off_depth FROM r UNION ALL " + f"SELECT lower(url), scope, in_depth, same_depth, off_depth FROM {REACHED} AS t(url, scope, in_depth, same_depth, off_depth) UNION ALL SELECT 'https://l.com/' || CASE i % 2 WHEN 0 THEN 'in/' ELSE '' END || lpad(CAST(i AS VARCHAR), 2, '0'), CASE i % 2 WHEN 0 THEN 'in' ELSE 'same' END, i // 2, i % 2, 0 FROM range(22) t(i)")
 def w8(s, d):
-    return crawl.crawl(graph(s), "https://a.com/g/")
+    """Three sites: the pages' links, the small graph, and a walk of 22 pages that leaves its scope at every other step."""
+    a, b = crawl.crawl(site(s, d), ROOT), crawl.crawl(graph(s), "https://a.com/g/")
+    return a.unionByName(b).unionByName(crawl.crawl(walk(s), "https://l.com/in/00")).withColumn("url", F.lower("url"))
 
 
-@query("w7_priority_frontier", f"SELECT url FROM {REACHED} AS t(url, scope, in_depth, same_depth, off_depth)")
+@query("w7_priority_frontier", SITE + " SELECT url, row_number() OVER (ORDER BY step, url) AS place FROM r")
 def w7(s, d):
-    return crawl.crawl(graph(s), "https://a.com/g/").select("url")
+    """Pages in the order in which they are fetched: by level, in-scope ones first."""
+    return crawl.fetch_order(crawl.crawl(site(s, d), ROOT)).select(F.lower("url").alias("url"), "place")
 
 
-@query("w10_resume", "SELECT unnest(['https://a.com/other', 'https://A.com/g/2', 'https://a.com/deep', 'https://b.org/x']) AS url")
+@query("w10_resume", SITE + " SELECT url FROM r WHERE step % 2 = 1 OR step = 4")
 def w10(s, d):
-    seen = s.createDataFrame([("https://a.com/G/",), ("https://a.com/g/1",)], "url string")
-    return crawl.crawl(graph(s), "https://a.com/g/", visited=seen).select("url")
+    """Some pages are stored already; they are walked through and not fetched again."""
+    every = crawl.crawl(site(s, d), ROOT)
+    seen = every.where("scope = 'in' and in_depth <> 2").select(F.upper("url").alias("url"))
+    return crawl.crawl(site(s, d), ROOT, visited=seen).select(F.lower("url").alias("url"))
 
 
 ATTEMPTS = G.Given("id int, in_scope boolean, status int, attempt int", [(0, True, 403, 0), (1, True, 403, 1), (2, True, 403, 2), (3, False, 403, 0), (4, True, 429, 0), (5, True, 200, 0)])
 
 
-@query("w9_retry", "SELECT * FROM (VALUES (0, 'retry', 1000), (1, 'retry', 2000), (2, 'dropped', NULL), (3, 'failed', NULL), (4, 'failed', NULL), (5, 'done', NULL)) AS t(id, step, delay_ms)")
+@query("w9_retry", "SELECT seq AS id, CASE WHEN status = 403 AND in_scope THEN CASE WHEN attempt < 2 THEN 'retry' ELSE 'dropped' END WHEN status >= 400 THEN 'failed' ELSE 'done' END AS step, CASE WHEN status = 403 AND in_scope AND attempt < 2 THEN CAST(1000 * pow(2, attempt) AS INTEGER) END AS delay_ms FROM fetches_t UNION ALL SELECT * FROM (VALUES (-1, 'retry', 1000), (-2, 'retry', 2000), (-3, 'dropped', NULL), (-4, 'failed', NULL), (-5, 'failed', NULL), (-6, 'done', NULL)) AS t(id, step, delay_ms)")
 def w9(s, d):
-    return crawl.retry_plan(ATTEMPTS.frame(s)).select("id", "step", "delay_ms")
+    rows = bind.fetches(s, d).select(F.col("seq").alias("id"), "in_scope", "status", "attempt").unionByName(ATTEMPTS.frame(s).withColumn("id", -1 - F.col("id")))
+    return crawl.retry_plan(rows).select("id", "step", "delay_ms")
 
 
 @query("w12_cancel", "SELECT id, CASE WHEN status NOT IN ('Queued', 'Running') THEN 'AlreadyTerminal' WHEN last_progress_at IS NOT NULL THEN 'Signalled' ELSE 'OrphanCleanedUp' END AS outcome FROM jobs_t")

@@ -1,13 +1,17 @@
 """Queries of scans, sinks, filters, distincts and orders (S, F, D, O)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..operators import chunking, crawl, deps, profiling, search, store, versions
 from ..operators import symbols as Y
+from ..session import cut, drop_folder, shared_folder
 from ..sources import bind, readers
 from . import fixtures as G
 from .catalog import query
+from .scalars import fenced
 
 LIB, VER = "src1", "2.0"
 NOW = "(SELECT max(created_at) FROM jobs_t)"
@@ -18,6 +22,42 @@ def now(jobs):
     return jobs.join(F.broadcast(jobs.agg(F.max("created_at").alias("now"))))
 
 
+HOST_OF = "lower(regexp_extract({0}, '://([^/:?#]+)', 1))"
+#: Links of the pages, and the small list of addresses under one root.
+LINKED = f"(SELECT url, link FROM hrefs_t UNION ALL SELECT 'https://docs.example.com/guide/index.html', url FROM {G.URLS.sql})"
+#: Packages of the projects and the small list.
+PACKAGES = f"(SELECT package_id, version, ecosystem_id FROM deps_t UNION ALL SELECT package_id, version, ecosystem_id FROM {G.DEPENDENCIES.sql})"
+KEEP = "NOT ((ecosystem_id = 'nuget' AND lower(package_id) LIKE 'system.%') OR (ecosystem_id = 'npm' AND (lower(package_id) LIKE 'eslint%' OR lower(package_id) LIKE '@types/%')) OR (ecosystem_id = 'pip' AND lower(package_id) LIKE 'pytest%'))"
+#: Dotted names and each neighbouring pair in them.
+DOTTED = "SELECT DISTINCT library_id, unnest(list_concat([p], list_transform(range(1, len(string_split(p, '.'))), lambda i: list_extract(string_split(p, '.'), i) || '.' || list_extract(string_split(p, '.'), i + 1)))) AS name FROM (SELECT library_id, unnest(regexp_extract_all(w, '\\b[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+\\b')) AS p FROM (SELECT library_id, unnest(regexp_split_to_array(content, '[^A-Za-z0-9_.]+')) AS w FROM {0}))".replace("{0}", "chunks_t")
+ISSUES = "WITH n AS (SELECT *, lead(id) OVER w AS next_id, lead(content) OVER w AS next_content, row_number() OVER w AS place FROM pieces_t WINDOW w AS (PARTITION BY page_url ORDER BY i)), d AS (" + DOTTED.replace("chunks_t", "pieces_t") + "), c AS (SELECT *, regexp_extract(content, '([\\p{L}\\p{M}\\p{N}_]*)\\.\\s*$', 1) AS a, regexp_extract(next_content, '^\\s*([\\p{L}\\p{M}\\p{N}_]*)', 1) AS b FROM n WHERE next_id IS NOT NULL) SELECT c.library_id, id AS prev_chunk_id, next_id AS next_chunk_id, a || '.' || b AS joined_identifier FROM c JOIN d ON d.library_id = c.library_id AND d.name = a || '.' || b WHERE regexp_matches(a, '^\\p{L}') AND regexp_matches(b, '^\\p{L}') UNION ALL SELECT library_id, '(none)', id, '(leading-dot)' FROM n WHERE place > 1 AND regexp_matches(content, '^\\s*\\.')"
+
+
+def in_catalog(s, run):
+    """What ``run`` reads of a catalog that it has written; the catalog goes afterwards."""
+    folder = f"{shared_folder(s)}/catalog-{uuid.uuid4().hex}"
+    out = cut(run(store.Catalog(s, folder)))
+    drop_folder(s, folder)
+    return out
+
+
+def in_vectors(s, run):
+    """The same for a vector index."""
+    folder = f"{shared_folder(s)}/vectors-{uuid.uuid4().hex}"
+    out = cut(run(store.VectorIndex(s, folder)))
+    drop_folder(s, folder)
+    return out
+
+
+def linked(s, d):
+    root = F.lit("https://docs.example.com/guide/index.html")
+    return bind.links(s, d).unionByName(G.URLS.frame(s).select(root.alias("url"), F.col("url").alias("link")))
+
+
+def packages(s, d):
+    return bind.dependencies(s, d).unionByName(G.DEPENDENCIES.frame(s).select("package_id", "version", "ecosystem_id"))
+
+
 @query("s1_scan_chunks", "SELECT id, category FROM chunks_t WHERE library_id = 'src1' AND version = '2.0'")
 def s1(s, d):
     return readers.scan(bind.chunks(s, d), LIB, VER).select("id", "category")
@@ -77,40 +117,83 @@ def s12(s, d):
 
 @query("s13_upsert", "SELECT url, CASE WHEN lang = 'fr' THEN 'new' ELSE title END AS title FROM pages_t UNION ALL SELECT 'doc://new/1', 'new'")
 def s13(s, d):
-    p = bind.pages(s, d)
-    new = p.where("lang = 'fr'").select("url", F.lit("new").alias("title"), F.lit(2).alias("seq"))
+    """Pages written to a catalog, then changed and added to there; of two changes of a key the later stands."""
+    p = bind.pages(s, d).select("library_id", "version", "url", "title", "lang")
+    new = p.where("lang = 'fr'").select("library_id", "version", "url", F.lit("new").alias("title"), F.lit(2).alias("seq"))
     older = new.withColumn("title", F.lit("older")).withColumn("seq", F.lit(1))
-    more = s.createDataFrame([("doc://new/1", "new", 1)], "url string, title string, seq int")
-    return store.upsert(p.select("url", "title"), older.unionByName(new).unionByName(more), ["url"], "seq")
+    more = s.createDataFrame([("src1", "2.0", "doc://new/1", "new", 1)], new.schema)
+
+    def run(catalog):
+        catalog.append("pages", p.drop("lang"))
+        catalog.upsert("pages", older.unionByName(new).unionByName(more), ["url"], "seq")
+        return catalog.read("pages").select("url", "title")
 
+    return in_catalog(s, run)
 
-@query("s14_delete_by_key", "SELECT id FROM chunks_t WHERE library_id NOT IN ('src1', 'src2')")
+
+@query("s14_delete_by_key", "SELECT id, (SELECT count(*) FROM chunks_t WHERE library_id IN ('src1', 'src2')) AS deleted FROM chunks_t WHERE library_id NOT IN ('src1', 'src2')")
 def s14(s, d):
-    gone = s.createDataFrame([("src1", "2.0"), ("src2", "2.0")], "library_id string, version string")
-    return store.delete(bind.chunks(s, d), gone).select("id")
+    """Two library versions deleted from a written table, and how many rows went."""
+    gone = s.createDataFrame([("src1", "2.0"), ("src2", "2.0"), ("src3", "9.9")], "library_id string, version string")
+
+    def run(catalog):
+        catalog.append("chunks", bind.chunks(s, d).select("id", "library_id", "version"))
+        n = catalog.delete("chunks", gone)
+        return catalog.read("chunks").select("id", F.lit(n).cast("long").alias("deleted"))
+
+    return in_catalog(s, run)
 
 
 @query("s15_replace_set", "SELECT library_id, url FROM pages_t WHERE library_id <> 'src1' OR category = 'HowTo'")
 def s15(s, d):
-    p = bind.pages(s, d)
-    return store.replace_set(p, p.where("library_id = 'src1' and category = 'HowTo'"), ["library_id", "version"]).select("library_id", "url")
+    p = bind.pages(s, d).select("library_id", "version", "url", "category")
+
+    def run(catalog):
+        catalog.append("pages", p)
+        catalog.replace("pages", p.where("library_id = 'src1' and category = 'HowTo'"))
+        return catalog.read("pages").select("library_id", "url")
+
+    return in_catalog(s, run)
 
 
 @query("s16_insert", "SELECT url FROM pages_t UNION ALL SELECT url FROM pages_t WHERE lang = 'de'")
 def s16(s, d):
-    p = bind.pages(s, d)
-    return p.select("url").unionByName(p.where("lang = 'de'").select("url"))
+    p = bind.pages(s, d).select("library_id", "version", "url", "lang")
+
+    def run(catalog):
+        catalog.append("pages", p)
+        catalog.append("pages", p.where("lang = 'de'"))
+        return catalog.read("pages").select("url")
+
+    return in_catalog(s, run)
 
 
-@query("s17_vector_index_load", "SELECT c.id FROM chunks_t c JOIN embeddings e ON e.vec_id = c.doc_id WHERE e.embedding IS NOT NULL")
+@query("s17_vector_index_load", "SELECT c.id, round(list_cosine_similarity(e.v, (SELECT v FROM dotp_t WHERE doc_id = 0)), 6) AS score FROM chunks_t c JOIN dotp_t e USING (doc_id)")
 def s17(s, d):
-    return bind.chunks(s, d, vectors=True).where("embedding is not null").select("id")
+    """Vectors loaded twice into the stored index, which replaces them, and searched there."""
+    c = bind.chunks(s, d, vectors=True)
+
+    def run(index):
+        index.load(c)
+        index.load(c)
+        q = index.read().where(F.col("id") == c.where("doc_id = 0").select("id").first()[0]).select(F.col("unit").alias("q"))
+        dot = F.aggregate(F.zip_with("unit", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return index.read().join(F.broadcast(q.limit(1))).select("id", F.round(dot, 6).alias("score"))
+
+    return in_vectors(s, run)
 
 
 @query("s18_index_reload", "SELECT c.id FROM libraries_t l JOIN chunks_t c ON c.library_id = l.id AND c.version = l.current_version JOIN embeddings e ON e.vec_id = c.doc_id")
 def s18(s, d):
-    libs = bind.libraries(s, d).select(F.col("id").alias("library_id"), F.col("current_version").alias("version"))
-    return bind.chunks(s, d, vectors=True).join(libs, ["library_id", "version"], "left_semi").where("embedding is not null").select("id")
+    """An index that held an old version holds the current ones after a reload."""
+    c = bind.chunks(s, d, vectors=True)
+
+    def run(index):
+        index.load(c.withColumn("version", F.lit("1.0")))
+        index.reload(c, bind.libraries(s, d))
+        return index.read().select("id")
+
+    return in_vectors(s, run)
 
 
 @query("s19_json_sink", """SELECT '{"id":"' || id || '","page_count":' || page_count || '}' AS json FROM versions_t""")
@@ -141,43 +224,48 @@ def f4(s, d):
     return ASKED.frame(s).join(bind.libraries(s, d), F.col("library") == F.col("id"), "left").select("library", F.coalesce("version", "current_version").alias("version"))
 
 
-@query("f5_url_allowed", f"SELECT id, NOT regexp_matches(lower(url), '\\.(pdf|zip|png)(\\?|$)') AND regexp_matches(url, '(?i)docs\\.example\\.com') AND NOT regexp_matches(url, '(?i)/search|/blog/') AS ok FROM {G.URLS.sql}")
+@query("f5_url_allowed", f"SELECT DISTINCT link, NOT regexp_matches(lower(link), '\\.(pdf|zip|png)(\\?|$)') AND regexp_matches(link, '(?i)example\\.(com|org)') AND NOT regexp_matches(link, '(?i)/the|/la/') AS ok FROM {LINKED}")
 def f5(s, d):
-    return G.URLS.frame(s).select("id", U.url_allowed(F.col("url"), [r"docs\.example\.com"], ["/search", "/blog/"]).alias("ok"))
-
+    return linked(s, d).select("link", U.url_allowed(F.col("link"), [r"example\.(com|org)"], ["/the", "/la/"]).alias("ok")).distinct()
 
-HOST = "lower(regexp_extract(url, '://([^/:?#]+)', 1))"
 
-
-@query("f6_url_in_scope", f"SELECT id, {HOST} = 'docs.example.com' AND starts_with(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/guide/') AS ok FROM {G.URLS.sql}")
+@query("f6_url_in_scope", f"SELECT url, link, {HOST_OF.format('link')} = {HOST_OF.format('url')} AND starts_with(lower(regexp_extract(link, '://[^/?#]*([^?#]*)', 1)), lower(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^(.*/)?', 0))) AS ok FROM {LINKED}")
 def f6(s, d):
-    return G.URLS.frame(s).select("id", U.in_scope(F.col("url"), F.lit("https://docs.example.com/guide/index.html")).alias("ok"))
+    """Is a link below the folder of the page that it stands on?"""
+    return linked(s, d).select("url", "link", U.in_scope(F.col("link"), F.col("url")).alias("ok"))
 
 
-@query("f7_url_same_host", f"SELECT id, {HOST} = 'docs.example.com' AS ok FROM {G.URLS.sql}")
+@query("f7_url_same_host", f"SELECT url, link, {HOST_OF.format('link')} = {HOST_OF.format('url')} AS ok FROM {LINKED}")
 def f7(s, d):
-    return G.URLS.frame(s).select("id", U.same_host(F.col("url"), F.lit("https://docs.example.com/")).alias("ok"))
+    return linked(s, d).select("url", "link", U.same_host(F.col("link"), F.col("url")).alias("ok"))
 
 
-@query("f8_depth_limit", f"SELECT id, CASE scope WHEN 'in' THEN in_depth >= 10 WHEN 'same' THEN same_depth >= 2 ELSE off_depth >= 1 END AS reached FROM {G.CRAWL.sql}")
+@query("f8_depth_limit", f"SELECT id, CASE scope WHEN 'in' THEN in_depth >= 10 WHEN 'same' THEN same_depth >= 2 ELSE off_depth >= 1 END AS reached FROM (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'in' WHEN 1 THEN 'same' ELSE 'off' END AS scope, user_id % 13 AS in_depth, user_id % 4 AS same_depth, user_id % 3 AS off_depth FROM events UNION ALL SELECT -1 - id, scope, in_depth, same_depth, off_depth FROM {G.CRAWL.sql})")
 def f8(s, d):
-    return G.CRAWL.frame(s).select("id", U.depth_reached(F.col("scope"), F.col("in_depth"), F.col("same_depth"), F.col("off_depth")).alias("reached"))
+    i, u = F.col("event_id") % 3, F.col("user_id")
+    scope = F.when(i == 0, "in").when(i == 1, "same").otherwise("off")
+    rows = bind.read(s, d, "events").select(F.col("event_id").alias("id"), scope.alias("scope"), (u % 13).cast("int").alias("in_depth"), (u % 4).cast("int").alias("same_depth"), (u % 3).cast("int").alias("off_depth"))
+    rows = rows.unionByName(G.CRAWL.frame(s).withColumn("id", (-1 - F.col("id")).cast("long")))
+    return rows.select("id", U.depth_reached(F.col("scope"), F.col("in_depth"), F.col("same_depth"), F.col("off_depth")).alias("reached"))
 
 
-@query("f9_gated_prefix", f"SELECT host, seq FROM {G.FETCHES.sql} WHERE NOT (host = 'b.com' AND url = 'https://b.com/private/b')")
+@query("f9_gated_prefix", "SELECT f.host, f.seq FROM fetches_t f LEFT JOIN (SELECT host, segment, min(seq) AS gate FROM fetches_t WHERE status = 403 AND NOT in_scope GROUP BY ALL) g USING (host, segment) WHERE g.gate IS NULL OR f.in_scope OR f.seq <= g.gate")
 def f9(s, d):
-    return crawl.gated(G.FETCHES.frame(s)).select("host", "seq")
+    return crawl.gated(bind.fetches(s, d)).select("host", "seq")
 
 
-@query("f10_package_filter", f"SELECT package_id, ecosystem_id, version FROM {G.DEPENDENCIES.sql} WHERE NOT (lower(package_id) LIKE 'system.%' OR lower(package_id) LIKE 'eslint%' OR lower(package_id) LIKE '@types/%' OR lower(package_id) LIKE 'pytest%')")
+@query("f10_package_filter", f"SELECT package_id, ecosystem_id, version FROM {PACKAGES} WHERE {KEEP}")
 def f10(s, d):
-    return G.DEPENDENCIES.frame(s).where(~deps.skipped(F.col("package_id"), F.col("ecosystem_id"))).select("package_id", "ecosystem_id", "version")
+    return packages(s, d).where(~deps.skipped(F.col("package_id"), F.col("ecosystem_id"))).select("package_id", "ecosystem_id", "version")
 
 
-@query("f11_github_repo_url", f"SELECT id, nullif(regexp_extract(url, '(?i)^https?://(?:www\\.)?github\\.com/([^/]+)/([^/#?]+)', 1), '') AS owner, nullif(replace(regexp_extract(url, '(?i)^https?://(?:www\\.)?github\\.com/([^/]+)/([^/#?]+)', 2), '.git', ''), '') AS repo FROM {G.URLS.sql}")
+@query("f11_github_repo_url", f"SELECT url, nullif(regexp_extract(url, '(?i)^https?://(?:www\\.)?github\\.com/([^/]+)/([^/#?]+)', 1), '') AS owner, nullif(replace(regexp_extract(url, '(?i)^https?://(?:www\\.)?github\\.com/([^/]+)/([^/#?]+)', 2), '.git', ''), '') AS repo FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'https://GitHub.com/o' || page_id || '/r.git' WHEN 1 THEN 'http://www.github.com/o/r' || page_id || '/tree/main' ELSE url END AS url FROM pages UNION ALL SELECT url FROM {G.URLS.sql})")
 def f11(s, d):
+    i, n = F.col("page_id") % 3, F.col("page_id")
+    url = F.when(i == 0, F.concat(F.lit("https://GitHub.com/o"), n, F.lit("/r.git"))).when(i == 1, F.concat(F.lit("http://www.github.com/o/r"), n, F.lit("/tree/main"))).otherwise(F.col("url"))
+    u = bind.read(s, d, "pages").select(url.alias("url")).unionByName(G.URLS.frame(s).select("url"))
     r = U.github_repo(F.col("url"))
-    return G.URLS.frame(s).select("id", r["owner"].alias("owner"), r["name"].alias("repo"))
+    return u.select("url", r["owner"].alias("owner"), r["name"].alias("repo"))
 
 
 STALE = f"status = 'Running' AND coalesce(last_progress_at, created_at) < {NOW} - INTERVAL 4 HOUR"
@@ -198,14 +286,19 @@ def f13(s, d):
 VECTORS = G.Given("id int, a array<double>, b array<double>", [(0, [1.0, 0.0], [1.0, 1.0]), (1, [1.0], [1.0, 2.0]), (2, [0.0, 0.0], [1.0, 1.0]), (3, [3.0, 4.0], [3.0, 4.0])])
 
 
-@query("f14_embedding_guard", "SELECT * FROM (VALUES (0, 0.707107::DOUBLE), (1, 0.0::DOUBLE), (2, 0.0::DOUBLE), (3, 1.0::DOUBLE)) AS t(id, score)")
+@query("f14_embedding_guard", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN round(list_cosine_similarity(v, list_reverse(v)), 6) ELSE 0.0::DOUBLE END AS score FROM dotp_t UNION ALL SELECT * FROM (VALUES (-1, 0.707107::DOUBLE), (-2, 0.0::DOUBLE), (-3, 0.0::DOUBLE), (-4, 1.0::DOUBLE)) AS t(id, score)")
 def f14(s, d):
-    return VECTORS.frame(s).select("id", F.round(search.cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    """Each vector with itself backwards, with a shorter one, or with zeros."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    i = F.col("vec_id") % 3
+    b = F.when(i == 0, F.reverse(v)).when(i == 1, F.slice(v, 1, 3)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+    rows = bind.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), v.alias("a"), b.alias("b")).unionByName(VECTORS.frame(s).withColumn("id", (-1 - F.col("id")).cast("long")))
+    return rows.select("id", F.round(search.cosine(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("f15_fetch_outcome", f"SELECT host, seq, CASE WHEN status IN (429, 503) THEN 'limited' WHEN status = 403 THEN 'forbidden' ELSE 'ok' END AS outcome FROM {G.FETCHES.sql}")
+@query("f15_fetch_outcome", "SELECT host, seq, CASE WHEN status IN (429, 503) THEN 'limited' WHEN status = 403 THEN 'forbidden' ELSE 'ok' END AS outcome FROM fetches_t")
 def f15(s, d):
-    return G.FETCHES.frame(s).select("host", "seq", crawl.outcome(F.col("status")).alias("outcome"))
+    return bind.fetches(s, d).select("host", "seq", crawl.outcome(F.col("status")).alias("outcome"))
 
 
 @query("d1_qualified_names", "SELECT DISTINCT name FROM (SELECT sym_name AS name FROM chunks_t WHERE parser_version >= 2 AND sym_kind = 'Type' UNION ALL SELECT qualified_name FROM chunks_t WHERE parser_version < 2) WHERE name IS NOT NULL AND contains(lower(name), 'o')")
@@ -231,17 +324,14 @@ def d4(s, d):
     return bind.chunks(s, d).orderBy("id").limit(10).select("page_title").distinct()
 
 
-@query("d5_dedup_dependencies", f"SELECT package_id, version, ecosystem_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(package_id), ecosystem_id ORDER BY package_id, version) AS n FROM {G.DEPENDENCIES.sql}) WHERE n = 1")
+@query("d5_dedup_dependencies", f"SELECT package_id, version, ecosystem_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(package_id), ecosystem_id ORDER BY package_id, version) AS n FROM {PACKAGES}) WHERE n = 1")
 def d5(s, d):
-    return deps.distinct_packages(G.DEPENDENCIES.frame(s))
-
+    return deps.distinct_packages(packages(s, d))
 
-KEEP = "NOT (lower(package_id) LIKE 'system.%' OR lower(package_id) LIKE 'eslint%' OR lower(package_id) LIKE '@types/%' OR lower(package_id) LIKE 'pytest%')"
 
-
-@query("d6_union_statuses", f"SELECT package_id, 'processed' AS state FROM {G.DEPENDENCIES.sql} WHERE {KEEP} UNION ALL SELECT package_id, 'filtered' FROM {G.DEPENDENCIES.sql} WHERE NOT {KEEP}")
+@query("d6_union_statuses", f"SELECT package_id, 'processed' AS state FROM {PACKAGES} WHERE {KEEP} UNION ALL SELECT package_id, 'filtered' FROM {PACKAGES} WHERE NOT {KEEP}")
 def d6(s, d):
-    f = G.DEPENDENCIES.frame(s)
+    f = packages(s, d)
     skip = deps.skipped(F.col("package_id"), F.col("ecosystem_id"))
     return f.where(~skip).select("package_id", F.lit("processed").alias("state")).unionByName(f.where(skip).select("package_id", F.lit("filtered").alias("state")))
 
@@ -266,9 +356,9 @@ def d9(s, d):
     return crawl.resolved_links(bind.html_links(s, d)).select("page_id", F.lower("link").alias("link")).dropDuplicates(["page_id", "link"]).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("d10_filtered_packages", f"SELECT DISTINCT package_id, ecosystem_id FROM {G.DEPENDENCIES.sql} WHERE NOT {KEEP}")
+@query("d10_filtered_packages", f"SELECT DISTINCT package_id, ecosystem_id FROM {PACKAGES} WHERE NOT {KEEP}")
 def d10(s, d):
-    f = G.DEPENDENCIES.frame(s)
+    f = packages(s, d)
     kept = f.where(~deps.skipped(F.col("package_id"), F.col("ecosystem_id")))
     return store.delete(f, kept.select("package_id", "ecosystem_id")).select("package_id", "ecosystem_id").distinct()
 
@@ -301,14 +391,14 @@ def boundary_chunks(s):
     return s.createDataFrame([("l", "1", *r) for r in BOUNDARY], "library_id string, version string, id string, page_url string, content string")
 
 
-@query("o8_boundary_pairs", "SELECT * FROM (VALUES ('l/1/h/0', 'l/1/h/1'), ('l/1/h/1', 'l/1/h/2'), ('l/1/h/2', 'l/1/h/10'), ('l/1/h/10', NULL), ('l/1/g/0', 'l/1/g/0-1'), ('l/1/g/0-1', 'l/1/g/1'), ('l/1/g/1', NULL)) AS t(id, next_id)")
+@query("o8_boundary_pairs", "SELECT id, lead(id) OVER (PARTITION BY page_url ORDER BY i) AS next_id FROM pieces_t UNION ALL SELECT * FROM (VALUES ('l/1/h/0', 'l/1/h/1'), ('l/1/h/1', 'l/1/h/2'), ('l/1/h/2', 'l/1/h/10'), ('l/1/h/10', NULL), ('l/1/g/0', 'l/1/g/0-1'), ('l/1/g/0-1', 'l/1/g/1'), ('l/1/g/1', NULL)) AS t(id, next_id)")
 def o8(s, d):
-    return chunking.neighbours(boundary_chunks(s)).select("id", "next_id")
+    return chunking.neighbours(bind.pieces(s, d).drop("i").unionByName(boundary_chunks(s))).select("id", "next_id")
 
 
-@query("o9_boundary_issues", "SELECT * FROM (VALUES ('l/1/h/0', 'l/1/h/1', 'Axis.Move'), ('(none)', 'l/1/h/2', '(leading-dot)')) AS t(prev_chunk_id, next_chunk_id, joined_identifier)")
+@query("o9_boundary_issues", f"SELECT prev_chunk_id, next_chunk_id, joined_identifier FROM ({ISSUES}) UNION ALL SELECT * FROM (VALUES ('l/1/h/0', 'l/1/h/1', 'Axis.Move'), ('(none)', 'l/1/h/2', '(leading-dot)')) AS t(prev_chunk_id, next_chunk_id, joined_identifier)")
 def o9(s, d):
-    return chunking.boundary_issues(boundary_chunks(s)).select("prev_chunk_id", "next_chunk_id", "joined_identifier")
+    return chunking.boundary_issues(bind.pieces(s, d).drop("i").unionByName(boundary_chunks(s))).select("prev_chunk_id", "next_chunk_id", "joined_identifier")
 
 
 @query("o10_previous_version", "SELECT id, '1.0' AS previous FROM libraries_t")
@@ -321,15 +411,26 @@ def o11(s, d):
     return bind.versions(s, d).where("version <> '2.0'").groupBy("library_id").agg(F.max_by("version", F.struct("scraped_at", "version")).alias("version"))
 
 
+def profiles(s, d):
+    """Two profiles of each library, the second without likely symbols, and the small list."""
+    p = bind.versions(s, d).select("library_id", "version", F.col("scraped_at").alias("created_utc"))
+    first = F.col("version") == "1.0"
+    none = F.array().cast("array<string>")
+    number = F.regexp_extract("library_id", r"(\d+)", 1).cast("int")
+    stops = F.when(first, F.array(F.lit("stop"), F.col("library_id"))).when(number % 2 == 0, none).otherwise(F.array(F.lit("later"), F.lit("KEEP")))
+    rows = p.select("library_id", "version", F.when(first, F.array(F.lit("One"), F.col("library_id"))).otherwise(none).alias("likely_symbols"), stops.alias("stoplist"), "created_utc", F.lit(0.9).alias("confidence"))
+    return rows.unionByName(profile_rows(s))
+
+
 def profile_rows(s):
     rows = [("l", "1.0", ["One"], ["stop"], 1), ("l", "2.0", ["Two"], ["later", "Keep"], 2), ("l", "3.0", [], [], 3), ("m", "1.0", [], [], 1)]
     f = s.createDataFrame(rows, "library_id string, version string, likely_symbols array<string>, stoplist array<string>, n int")
     return f.withColumn("created_utc", F.timestamp_seconds("n")).withColumn("confidence", F.lit(0.9)).drop("n")
 
 
-@query("o12_carry_forward_stoplist", "SELECT * FROM (VALUES ('l', '1.0', 'stop'), ('l', '2.0', 'later,Keep'), ('l', '3.0', 'later,Keep'), ('m', '1.0', '')) AS t(library_id, version, stoplist)")
+@query("o12_carry_forward_stoplist", "SELECT library_id, version, CASE WHEN len(stoplist) = 0 THEN 'stop,' || library_id ELSE array_to_string(stoplist, ',') END AS stoplist FROM profiles_t UNION ALL SELECT * FROM (VALUES ('l', '1.0', 'stop'), ('l', '2.0', 'later,Keep'), ('l', '3.0', 'later,Keep'), ('m', '1.0', '')) AS t(library_id, version, stoplist)")
 def o12(s, d):
-    return versions.carry_stoplist(profile_rows(s)).select("library_id", "version", F.array_join("stoplist", ",").alias("stoplist"))
+    return versions.carry_stoplist(profiles(s, d)).select("library_id", "version", F.array_join("stoplist", ",").alias("stoplist"))
 
 
 @query("o13_primary_symbol", "SELECT library_id, min(sym_name) AS name FROM (SELECT library_id, sym_name, rank() OVER (PARTITION BY library_id ORDER BY CASE sym_kind WHEN 'Type' THEN 0 WHEN 'Enum' THEN 1 WHEN 'Function' THEN 2 ELSE 3 END) AS r FROM chunks_t) WHERE r = 1 GROUP BY library_id")
@@ -350,13 +451,13 @@ def o15(s, d):
     return readers.log_tail(e, 25).select(F.col("number").alias("event_id"))
 
 
-@query("t7_code_fence_symbols", "SELECT unnest(['var', 'Axis.Move', 'Axis', 'Move', 'std::vector', 'std', 'vector', 'int', 'foo->bar', 'foo', 'bar', 'baz_q']) AS name")
+@query("t7_code_fence_symbols", "SELECT DISTINCT library_id, name FROM (SELECT library_id, unnest(list_concat([id], string_split_regex(id, '\\.|::|->'))) AS name FROM (SELECT library_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*(?:(?:\\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*')) AS id FROM chunks_t) WHERE length(id) >= 2) WHERE length(name) >= 2 UNION ALL SELECT 'l', unnest(['var', 'Axis.Move', 'Axis', 'Move', 'std::vector', 'std', 'vector', 'int', 'foo->bar', 'foo', 'bar', 'baz_q'])")
 def t7(s, d):
     m = G.MARKDOWN.frame(s).withColumns({"library_id": F.lit("l"), "version": F.lit("1")})
-    return Y.code_fence_symbols(m).select("name")
+    return Y.code_fence_symbols(fenced(s, d).select("content", "library_id", "version").unionByName(m.drop("id"))).select("library_id", "name")
 
 
-@query("t8_dotted_identifiers", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+')) AS p FROM (SELECT 'use a.b.c and a.b or x' AS content)) SELECT p AS name FROM w UNION SELECT 'b.c' UNION SELECT 'a.b'")
+@query("t8_dotted_identifiers", f"SELECT library_id, name FROM ({DOTTED}) UNION ALL SELECT 'l', unnest(['a.b.c', 'a.b', 'b.c'])")
 def t8(s, d):
     c = s.createDataFrame([("l", "1", "use a.b.c and a.b or x")], "library_id string, version string, content string")
-    return Y.dotted_identifiers(c).select("name")
+    return Y.dotted_identifiers(bind.chunks(s, d).select("library_id", "version", "content").unionByName(c)).select("library_id", "name")

@@ -143,9 +143,12 @@ SQL = {
     "fetches_t": "SELECT 'h' || (user_id % 12) || '.com' AS host, CAST(event_id AS INTEGER) AS seq, 'https://h' || (user_id % 12) || '.com/p' || (event_id % 5) || '/x' || event_id AS url, '/p' || (event_id % 5) || '/' AS segment, CASE WHEN event_type = 'error' THEN 403 WHEN event_type = 'signup' THEN 429 WHEN event_id % 50 = 0 THEN 503 ELSE 200 END AS status, user_id % 3 = 0 AS in_scope, CAST(event_id % 4 AS INTEGER) AS attempt FROM events",
     "names_t": "SELECT DISTINCT unnest([w, upper(substr(w, 1, 4)), w || '_' || w, w || '.' || w, w || upper(substr(w, 1, 1)) || lower(substr(w, 2))]) AS name FROM (SELECT DISTINCT unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM chunks_t)",
     "hrefs_t": "SELECT DISTINCT src AS url, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE regexp_extract(src, '^[a-z]+://[^/?#]+') || href END AS link FROM links_t",
+    "profiles_t": "SELECT library_id, version, CASE WHEN version = '1.0' THEN ['One', library_id] ELSE [] END AS likely_symbols, CASE WHEN version = '1.0' THEN ['stop', library_id] WHEN CAST(regexp_extract(library_id, '(\\d+)', 1) AS INT) % 2 = 0 THEN [] ELSE ['later', 'KEEP'] END AS stoplist FROM versions_t",
+    "site_t": "SELECT page AS src, name AS link FROM (SELECT DISTINCT 'https://site.com/page/' || page_id AS page, 'https://site.com' || regexp_replace(href, '^https?://[^/]*|[?#].*$', '', 'g') AS name FROM links_t) UNION ALL SELECT name, page FROM (SELECT DISTINCT 'https://site.com/page/' || page_id AS page, 'https://site.com' || regexp_replace(href, '^https?://[^/]*|[?#].*$', '', 'g') AS name FROM links_t)",
+    "barred_t": "SELECT DISTINCT 'https://site.com/' || (page_id % 40) || list_extract(['/f.pdf', '/login/x', '/cart/1'], CAST(page_id % 3 + 1 AS BIGINT)) AS link FROM pages",
     "dotp_t": "SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
 }
-NEEDS = {"chunks_t": ["pages_t"], "libraries_t": ["pages_t"], "page_versions_t": ["pages_t"], "versions_t": ["page_versions_t"], "postings_t": ["chunks_t"], "pieces_t": ["chunks_t"], "names_t": ["chunks_t"], "hrefs_t": ["links_t"], "lengths_t": ["postings_t"], "stats_t": ["lengths_t"]}
+NEEDS = {"chunks_t": ["pages_t"], "libraries_t": ["pages_t"], "page_versions_t": ["pages_t"], "versions_t": ["page_versions_t"], "postings_t": ["chunks_t"], "pieces_t": ["chunks_t"], "site_t": ["links_t"], "profiles_t": ["versions_t"], "names_t": ["chunks_t"], "hrefs_t": ["links_t"], "lengths_t": ["postings_t"], "stats_t": ["lengths_t"]}
 
 
 def with_tables(sql: str) -> str:
