@@ -1,15 +1,17 @@
-"""Queries of the chunkers on given pages (T2 to T4) and of incremental ingest (W)."""
+"""Queries of the chunkers on given pages (T2 to T4), of incremental ingest and jobs (W), and of sources that are written first (S)."""
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import chunking, deps, profiling, store
 from ..session import cut, drop_folder, shared_folder
-from ..sources import bind
+from ..sources import bind, readers
 from ..streaming import ingest
 from . import fixtures as G
 from .catalog import query
+from .scalars import profile_replies
+from .tables import NOW, now
 
 BIG = "\n\n".join(c * 1500 for c in "abcd")
 PAGES = [
@@ -74,3 +76,105 @@ def w1(s, d):
 def w11(s, d):
     """Pages and errors over all micro-batches."""
     return streamed(s, d, lambda out: ingest.table(s, out, "progress").agg(F.sum("pages").alias("pages"), F.sum("errors").alias("errors")))
+
+
+@query("w2_back_pressure", "SELECT CAST(count(*) AS BIGINT) AS pages, TRUE AS within, TRUE AS several FROM pages_t")
+def w2(s, d):
+    """No trigger takes more than its two files of six, so there are three batches."""
+
+    def result(out):
+        p = ingest.table(s, out, "progress", number=True)
+        return p.agg(F.sum("pages").alias("pages"), (F.max("pages") <= F.ceil(F.sum("pages") / 2)).alias("within"), (F.count("*") == 3).alias("several"))
+
+    return streamed(s, d, result)
+
+
+@query("w3_micro_batch", "SELECT library_id, count(*) AS chunks FROM chunks_t GROUP BY ALL")
+def w3(s, d):
+    """Micro-batches of one file each, run twice from the same log: the second run finds nothing new."""
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    bind.pages(s, d).drop("doc_id", "lang").repartition(4).write.parquet(f"{folder}/pages")
+    for _ in range(2):
+        ingest.ingest(ingest.page_stream(s, f"{folder}/pages", 1), f"{folder}/out", f"{folder}/log").awaitTermination()
+    out = cut(ingest.table(s, f"{folder}/out", "chunks").where("content <> ''").groupBy("library_id").agg(F.countDistinct("page_url").alias("chunks")))
+    drop_folder(s, folder)
+    return out
+
+
+@query("w4_count_trigger", "SELECT c.library_id, count(*) AS vectors FROM chunks_t c JOIN embeddings e ON e.vec_id = c.doc_id GROUP BY ALL")
+def w4(s, d):
+    """Chunks with vectors in micro-batches: the index grows whenever a hundred wait, and by the rest at the end."""
+    folder = f"{shared_folder(s)}/vectors-{uuid.uuid4().hex}"
+    c = bind.chunks(s, d, vectors=True).where("embedding is not null").select("id", "category", "embedding", "library_id", "version")
+    c.repartition(5).write.parquet(f"{folder}/chunks")
+    index, pending = store.VectorIndex(s, f"{folder}/index"), store.Catalog(s, f"{folder}/waiting")
+    stream = s.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/chunks")
+    ingest.vector_batches(stream, index, pending, f"{folder}/log").awaitTermination()
+    ingest.flush(index, pending)
+    out = cut(index.read().groupBy("library_id").agg(F.count("*").alias("vectors")))
+    drop_folder(s, folder)
+    return out
+
+
+@query("w5_error_isolation", "SELECT CAST(count_if(doc_id % 10 = 0) AS BIGINT) AS errors, CAST(count_if(doc_id % 10 <> 0) AS BIGINT) AS pages FROM pages_t")
+def w5(s, d):
+    """A tenth of the pages can't be cut, as they have no address: each is an error, and all others come through."""
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    p = bind.pages(s, d).withColumn("url", F.when(F.col("doc_id") % 10 != 0, F.col("url"))).drop("doc_id", "lang")
+    p.repartition(4).write.parquet(f"{folder}/pages")
+    ingest.ingest(ingest.page_stream(s, f"{folder}/pages", 2), f"{folder}/out", f"{folder}/log").awaitTermination()
+    errors = ingest.table(s, f"{folder}/out", "errors").agg(F.count("*").alias("errors"))
+    out = cut(errors.join(ingest.table(s, f"{folder}/out", "chunks").agg(F.countDistinct("page_url").alias("pages"))))  # one row each
+    drop_folder(s, folder)
+    return out
+
+
+@query("w13_per_key_serialisation", f"SELECT q.library_id, q.version, q.id FROM (SELECT *, row_number() OVER (PARTITION BY library_id, version ORDER BY created_at, id) AS n FROM jobs_t WHERE status = 'Queued') q WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM jobs_t j WHERE j.library_id = q.library_id AND j.version = q.version AND j.status = 'Running' AND coalesce(j.last_progress_at, j.created_at) >= {NOW} - INTERVAL 4 HOUR)")
+def w13(s, d):
+    """The job that may start next for each library version."""
+    j = now(bind.jobs(s, d))
+    return profiling.admitted(j, F.col("now"))
+
+
+@query("c18_recon", "SELECT l.id AS library_id, coalesce(p.languages, '') AS languages, CASE WHEN p.languages IS NULL THEN '' ELSE 'Axis' END AS likely, coalesce(p.confidence, 0) AS confidence FROM libraries_t l LEFT JOIN (SELECT library_id, string_agg(lang, ',' ORDER BY lang) AS languages, least(count(*) / 2.0, 1)::DOUBLE AS confidence FROM (SELECT DISTINCT source AS library_id, lang FROM documents) WHERE library_id NOT IN ('src1', 'src2') GROUP BY library_id) p ON p.library_id = l.id")
+def c18(s, d):
+    """Profiles from saved replies; one library has none, and one's can't be read."""
+    body = F.when(F.col("library_id") == "src2", "no idea").otherwise(F.col("body"))
+    said = profile_replies(s, d).where("library_id <> 'src1'").withColumn("body", body)
+    return profiling.recon(bind.libraries(s, d), said).select("library_id", F.array_join("languages", ",").alias("languages"), F.array_join("likely_symbols", ",").alias("likely"), "confidence")
+
+
+@query("s7_web_source", "SELECT page_id, url, length(html) AS size FROM pages WHERE regexp_matches(url, '^https?://[^/]*example[.](com|org)(/|$)') AND NOT regexp_matches(url, '/blog/|/login/|/search|#')")
+def s7(s, d):
+    """Stored pages as a web source: those on allowed hosts, without what a job leaves out."""
+    return readers.web(bind.read(s, d, "pages"), [r"^https?://[^/]*example[.](com|org)(/|$)"], ["/blog/", "/login/", "/search", "#"]).select("page_id", "url", F.length("html").alias("size"))
+
+
+@query("s8_git_source", "SELECT CASE lang WHEN 'en' THEN 'docs' WHEN 'de' THEN 'src' ELSE 'samples' END AS folder, CASE lang WHEN 'en' THEN 'HowTo' WHEN 'de' THEN 'Code' ELSE 'Code' END AS category, count(*) AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'de', 'fr') AND octet_length(encode(text)) + 1 <= 204800 GROUP BY ALL")
+def s8(s, d):
+    """A checked-out repository written from the documents, a file each, and scanned; vendored files are left out."""
+    folder = f"{shared_folder(s)}/repo-{uuid.uuid4().hex}"
+    place = F.when(F.col("lang") == "en", "docs").when(F.col("lang") == "de", "src").when(F.col("lang") == "fr", "samples").otherwise("node_modules")
+    rows = bind.read(s, d, "documents").select(place.alias("folder"), "doc_id", F.col("text").alias("value"))
+    for name in ("docs", "src", "samples", "node_modules"):
+        rows.where(F.col("folder") == name).select("doc_id", "value").repartition("doc_id").write.partitionBy("doc_id").text(f"{folder}/{name}")
+    found = readers.repository(s, folder, "o", "r")
+    out = found.select(F.split_part("title", F.lit("/"), F.lit(1)).alias("folder"), "category", F.length("raw_content").alias("n")).groupBy("folder", "category").agg(F.count("*").alias("files"), F.sum("n").alias("chars"))
+    out = cut(out)
+    drop_folder(s, folder)
+    return out
+
+
+@query("s11_project_files", "SELECT source || '/package.json' AS path, 'npm' AS ecosystem_id, 'pkg-' || source AS package_id FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT source || '/lib/requirements.txt', 'pip', 'lib-' || source FROM (SELECT DISTINCT source FROM documents)")
+def s11(s, d):
+    """Manifests of every library's folder, found and read; those below node_modules and other files are left out."""
+    folder = f"{shared_folder(s)}/projects-{uuid.uuid4().hex}"
+    names = [r.id for r in bind.libraries(s, d).select("id").orderBy("id").collect()]  # a row per library: files are written one by one
+    for n in names:
+        readers.write_text(s, f"{folder}/{n}/package.json", f'{{"dependencies": {{"pkg-{n}": "1.0"}}}}')
+        readers.write_text(s, f"{folder}/{n}/lib/requirements.txt", f"lib-{n}==2.0\n")
+        readers.write_text(s, f"{folder}/{n}/node_modules/x/package.json", '{"dependencies": {"hidden": "1"}}')
+        readers.write_text(s, f"{folder}/{n}/notes.txt", "requests==1")
+    out = cut(deps.parse_manifests(readers.manifests(s, folder)).select("path", "ecosystem_id", "package_id"))
+    drop_folder(s, folder)
+    return out

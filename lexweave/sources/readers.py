@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import file_category
+from ..functions.url import url_allowed
 
 
 def scan(table: DataFrame, library: str, version: str) -> DataFrame:
@@ -61,3 +62,16 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 def as_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def web(pages: DataFrame, allowed: list[str], excluded: list[str]) -> DataFrame:
+    """Stored pages (url, ...) that a job may fetch: address patterns that it allows and leaves out, no binary files."""
+    return pages.where(url_allowed(F.col("url"), allowed, excluded))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, such as a manifest, in any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()

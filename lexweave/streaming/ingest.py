@@ -18,7 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import lexical
 from ..operators.chunking import chunk_pages
 from ..operators.crawl import Limiter
+from ..operators.store import Catalog, VectorIndex
 from ..schema import schema
+from ..session import cut, drop_folder
 
 STATE = "now int, streak int, until double"
 
@@ -47,9 +49,34 @@ def ingest(pages: DataFrame, out: str, checkpoint: str, classify: Callable[[Data
     return pages.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """All committed batches of a result."""
-    return spark.read.parquet(f"{out}/{name}").drop("batch")
+def vector_batches(chunks: DataFrame, index: VectorIndex, pending: Catalog, checkpoint: str, least: int = 100) -> StreamingQuery:
+    """Index chunks with vectors as they come: when ``least`` or more are pending they are added to the index; ``flush`` adds the rest.
+
+    A batch waits under its number, so a replayed one replaces itself, and adding a chunk again changes nothing.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        pending.replace("pending", batch.withColumn("version_of", F.col("version")).withColumn("library_of", F.col("library_id")).withColumns({"library_id": F.lit("batch"), "version": F.lit(str(number))}))
+        if pending.read("pending").count() >= least:
+            flush(index, pending)
+
+    return chunks.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flush(index: VectorIndex, pending: Catalog) -> int:
+    """Add all pending chunks to the index and clear them; how many there were."""
+    waiting = cut(pending.read("pending").withColumns({"library_id": F.col("library_of"), "version": F.col("version_of")}).drop("library_of", "version_of"))
+    n = waiting.count()
+    if n:
+        index.add(waiting)
+        drop_folder(pending.spark, f"{pending.path}/pending")
+    return n
+
+
+def table(spark: SparkSession, out: str, name: str, number: bool = False) -> DataFrame:
+    """All committed batches of a result; with ``number`` also each row's batch."""
+    rows = spark.read.parquet(f"{out}/{name}")
+    return rows if number else rows.drop("batch")
 
 
 def host_limits(log: DataFrame, grow: int = 25) -> DataFrame:
