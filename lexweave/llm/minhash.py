@@ -293,7 +293,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     facts = cut(named.select("key", "band", "node", "component"))
     per = cut(facts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"))
-    second = cut(across(facts.join(per, "key"), sigs, sets, percent))
+    # written first, so that what is counted by bucket is combined map-side
+    second = cut(across(cut(facts.join(per, "key")), sigs, sets, percent))
     if repeats:
         # classes that hold one id: (node of a further class, node of its first class)
         held = cut(some.join(twice, "id").select("id", *same).distinct().join(reps.select("node", *same), same).select("id", "node"))
