@@ -96,14 +96,37 @@ def a11(s, d):
     return Y.prose_mentions(bind.chunks(s, d)).drop("version")
 
 
-def tokens(s, d):
+def marked(s, d):
+    """Chunks with some code at their end: a declaration, calls, generics and dotted names of their first word."""
     c = bind.chunks(s, d)
+    w, n = F.regexp_extract("content", "([A-Za-z]+)", 1), F.col("doc_id") % 5
+    code = F.concat(F.lit("\nclass Big"), w, F.lit(" "), w, F.lit("Set("), w, F.lit("."), w, F.lit("_"), n, F.lit(") std::"), w, F.lit("<int> RPM x->"), w, F.lit(" enum  Kind"), n, F.lit(" the CPU"))
+    return c.withColumn("content", F.concat("content", code))
+
+
+def tokens(s, d):
+    c = marked(s, d)
     return Y.extract(c, mentions=Y.prose_mentions(c))
 
 
-@query("a12_excluded_symbols")
+#: Tokens with their place, mark behind, and the declaring word before; distinct in a chunk.
+TOKEN_LISTS = f"SELECT library_id, id, unnest(regexp_extract_all(content, '({fixed.TOKEN})([(<]?)', 1)) AS name, unnest(regexp_extract_all(content, '({fixed.TOKEN})([(<]?)', 2)) AS mark, unnest(range(len(regexp_extract_all(content, '{fixed.TOKEN}')))) AS place FROM marked_t"
+TOKENS = f"SELECT library_id, id, min(place) AS place, name, regexp_extract(name, '[A-Za-z0-9_-]*$') AS leaf, CASE WHEN regexp_matches(name, '[.:>]') THEN regexp_replace(name, '(\\.|::|->)[A-Za-z0-9_-]*$', '') END AS container, mark = '(' AS callable, mark = '<' AS generic, arg_min(keyword, place) AS keyword FROM (SELECT *, CASE WHEN list_contains(['class', 'interface', 'struct', 'enum', 'record', 'type', 'def', 'function'], lower(before)) THEN lower(before) END AS keyword FROM (SELECT *, lag(name) OVER (PARTITION BY id ORDER BY place) AS before FROM ({TOKEN_LISTS}))) GROUP BY library_id, id, name, mark, keyword IS NOT NULL"
+MENTIONS_OF = MENTIONS.replace("chunks_t", "{0}").replace("{L}", "{{L}}").replace("{M}", "{{M}}").replace("{N}", "{{N}}")
+STOPPED = "lower({0}) IN (" + ", ".join(G.literal(w) for w in sorted(fixed.STOPLIST)) + ")"
+UNIT = "({0} IN (" + ", ".join(G.literal(w) for w in fixed.UNITS) + ") OR (length({0}) <= 4 AND lower({0}) IN (" + ", ".join(G.literal(w) for w in fixed.UNITS_ANY_CASE) + ")))"
+SHORT = "regexp_full_match({0}, '[A-Z0-9]{{1,4}}')"
+#: Each distinct token of a chunk with its reason and kind, given mention counts m; there are no profiles and no fences.
+JUDGED = f"""SELECT *, CASE WHEN {STOPPED.format('name')} OR {STOPPED.format('leaf')} THEN 'GlobalStoplist' WHEN {UNIT.format('name')} OR {UNIT.format('leaf')} THEN 'Unit' WHEN length(name) < 2 THEN 'BelowMinLength' WHEN NOT ok AND blocked THEN 'LikelyAbbreviation' WHEN NOT ok THEN 'NoStructureSignal' END AS reason,
+ CASE WHEN keyword = 'enum' THEN 'Enum' WHEN keyword IN ('def', 'function') THEN 'Function' WHEN keyword IS NOT NULL THEN 'Type' WHEN callable THEN 'Function' WHEN generic THEN 'Type' WHEN container IS NOT NULL THEN 'Property' ELSE 'Unknown' END AS kind
+ FROM (SELECT *, (on_name AND {SHORT.format('name')}) OR (on_leaf AND {SHORT.format('leaf')}) AS blocked, keyword IS NOT NULL OR container IS NOT NULL OR regexp_matches(name, '[_.]|::|->|[a-z][A-Z]|[A-Z]{{2}}[a-z]{{2}}') OR callable OR generic OR (on_name AND NOT {SHORT.format('name')}) OR (on_leaf AND NOT {SHORT.format('leaf')}) AS ok
+ FROM (SELECT x.*, coalesce(a.mentions, 0) >= 3 AS on_name, coalesce(b.mentions, 0) >= 3 AS on_leaf FROM ({TOKENS}) x LEFT JOIN m a ON a.library_id = x.library_id AND a.name = x.name LEFT JOIN m b ON b.library_id = x.library_id AND b.name = x.leaf))"""
+
+
+@query("a12_excluded_symbols", f"WITH m AS ({MENTIONS_OF.format('marked_t')}), t AS ({JUDGED}), c AS (SELECT library_id, id, name, min(struct_pack(place := place, reason := reason)).reason AS reason FROM t WHERE reason IS NOT NULL GROUP BY ALL) SELECT library_id, name, arg_min(reason, id) AS reason, count(*) AS chunk_count, least(count(DISTINCT CAST(least(ix // greatest(total // 3, 1), 2) AS INT)), 3) AS samples FROM c JOIN (SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY library_id) AS total FROM chunks_t) USING (id) GROUP BY ALL")
 def a12(s, d):
-    return Y.excluded(tokens(s, d), bind.chunks(s, d))
+    """Rejected names with their first reason, number of chunks, and the number of sample sentences, one for each third they occur in."""
+    return Y.excluded(tokens(s, d), marked(s, d)).select("library_id", "name", "reason", "chunk_count", F.size("sample_sentences").alias("samples"))
 
 
 STATUS = f"""(SELECT package_id, CASE WHEN NOT ({KEEP}) THEN 'Filtered' WHEN l.id IS NULL THEN 'Unresolved' WHEN list_contains(l.all_versions, version) THEN 'Cached' ELSE 'CachedDifferentVersion' END AS status FROM {PACKAGES} x LEFT JOIN libraries_t l ON lower(l.id) = lower(x.package_id))"""
@@ -368,12 +391,12 @@ def c6(s, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("p10_tokenize_identifiers")
+@query("p10_tokenize_identifiers", f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS INTEGER) AS pos, name, leaf, container, callable, generic, keyword FROM ({TOKENS})")
 def p10(s, d):
-    return Y.tokens(bind.chunks(s, d)).drop("library_id", "version")
+    return Y.tokens(marked(s, d)).drop("library_id", "version")
 
 
-@query("c7_extract_symbols")
+@query("c7_extract_symbols", f"WITH m AS ({MENTIONS_OF.format('marked_t')}), t AS ({JUDGED}), k AS (SELECT id, name, min(struct_pack(place := place, kind := kind)) AS first FROM t WHERE reason IS NULL GROUP BY ALL) SELECT id, count(*) AS n, min(struct_pack(r := CASE first.kind WHEN 'Type' THEN 0 WHEN 'Enum' THEN 1 WHEN 'Function' THEN 2 WHEN 'Property' THEN 3 ELSE 6 END, place := first.place, name := name)).name AS primary_name FROM k GROUP BY id")
 def c7(s, d):
     return Y.per_chunk(tokens(s, d)).select("id", F.size("symbols").alias("n"), "primary_name")
 
@@ -470,9 +493,25 @@ def c13(s, d):
 RESOLVED = "(VALUES ('Serilog', 'https://serilog.net', 'Medium'), ('doc', 'https://doc.dev/docs', 'High'), ('gh', 'https://github.com/a/gh', 'Medium'), ('react', 'https://react.dev', 'High'), ('left', 'https://github.com/x/left', 'Medium'), ('requests', 'https://requests.readthedocs.io', 'High'), ('plain', 'https://plain.org', 'Medium'), ('none', 'https://none.readthedocs.io', 'Low'))"
 
 
-@query("c15_resolve_doc_url", f"SELECT * FROM {RESOLVED} AS t(package_id, doc_url, confidence)")
+def registered(s, d):
+    """Registry rows and reachable addresses made of the documents' ids."""
+    i, k = F.col("doc_id"), F.col("doc_id") % 6
+    name = F.concat(F.lit("pkg"), i)
+    none = F.lit(None).cast("string")
+    eco = F.when(k < 2, "nuget").when(k < 4, "npm").otherwise("pip")
+    project = F.when(k == 0, F.concat(F.lit("https://"), name, F.lit(".net"))).when(k == 2, F.concat(F.lit("https://"), name, F.lit(".org"))).when(k == 3, F.concat(F.lit("https://github.com/x/"), name))
+    docs = F.when(k == 1, F.concat(F.lit("https://"), name, F.lit(".dev/docs"))).when(k == 4, F.concat(F.lit("https://docs.org/"), name))
+    r = bind.read(s, d, "documents")
+    rows = r.select(name.alias("package_id"), eco.alias("ecosystem_id"), F.coalesce(project, none).alias("project_url"), F.when(k == 3, F.concat(F.lit("git://github.com/x/"), name, F.lit(".git"))).alias("repository_url"), F.coalesce(docs, none).alias("documentation_url"))
+    known = r.select(F.when(k == 0, F.concat(F.lit("https://"), name, F.lit(".net"))).when(i % 12 == 5, F.concat(F.lit("https://"), name, F.lit(".readthedocs.io"))).alias("url")).where("url is not null")
+    return rows, known
+
+
+@query("c15_resolve_doc_url", "SELECT 'pkg' || doc_id AS package_id, CASE k WHEN 0 THEN 'https://pkg' || doc_id || '.net' WHEN 1 THEN 'https://pkg' || doc_id || '.dev/docs' WHEN 2 THEN 'https://pkg' || doc_id || '.org' WHEN 3 THEN 'https://github.com/x/pkg' || doc_id WHEN 4 THEN 'https://docs.org/pkg' || doc_id WHEN 5 THEN CASE WHEN doc_id % 12 = 5 THEN 'https://pkg' || doc_id || '.readthedocs.io' END END AS doc_url, CASE k WHEN 0 THEN 'Medium' WHEN 3 THEN 'Medium' WHEN 5 THEN CASE WHEN doc_id % 12 = 5 THEN 'Low' END ELSE 'High' END AS confidence FROM (SELECT doc_id, doc_id % 6 AS k FROM documents) UNION ALL " + f"SELECT * FROM {RESOLVED} AS t(package_id, doc_url, confidence)")
 def c15(s, d):
-    return deps.resolve_doc_url(G.REGISTRY.frame(s), G.REACHABLE.frame(s)).drop("ecosystem_id")
+    """A package for each document, of every ecosystem and with every kind of metadata, and the small list."""
+    own, known = registered(s, d)
+    return deps.resolve_doc_url(own.unionByName(G.REGISTRY.frame(s)), known.unionByName(G.REACHABLE.frame(s))).drop("ecosystem_id")
 
 
 @query("c14_index_dependencies", "SELECT * FROM (VALUES ('Serilog', 'Queued'), ('X', 'Unresolved'), ('NoVer', 'Unresolved'), ('react', 'Queued'), ('jest', 'Filtered'), ('requests', 'Queued'), ('flask', 'Unresolved'), ('plain', 'Queued'), ('numpy', 'Unresolved'), ('pandas', 'Unresolved')) AS t(package_id, status)")

@@ -24,29 +24,36 @@ PAGES = [
 ]
 
 
-def given(s, categories):
+def given(s, categories, more):
+    """Chunks of the small list's pages of some categories, and of further pages, all titled T."""
     f = s.createDataFrame([("l", "1", u, "T", c, t) for u, c, t in PAGES], "library_id string, version string, url string, title string, category string, raw_content string")
-    return chunking.chunk_pages(f.where(F.col("category").isin(categories))).select("page_url", "section_path", F.length("content").alias("n"))
+    pages = f.where(F.col("category").isin(categories)).unionByName(more.withColumn("title", F.lit("T")).select(*f.columns))
+    return chunking.chunk_pages(pages).select("page_url", "section_path", F.length("content").alias("n"))
 
 
 def expected(rows):
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(G.literal, r)) + ")" for r in rows) + ") AS t(page_url, section_path, n)"
 
 
-@query("t2_heading_split", expected([("u/1", "T", 5), ("u/1", "T > One", 4), ("u/1", "T > Two", 4), ("u/2", "T", 5)]))
+@query("t2_heading_split", expected([("u/1", "T", 5), ("u/1", "T > One", 4), ("u/1", "T > Two", 4), ("u/2", "T", 5)]) + " UNION ALL SELECT url, unnest(['T', 'T > ' || library_id, 'T > Two']), CAST(unnest([5, 3 * (doc_id % 700 + 1) - 1, 4]) AS INTEGER) FROM pages_t")
 def t2(s, d):
-    return given(s, ["HowTo"])
+    """Pages with two headings, one for each document, and the small list."""
+    text = F.concat(F.lit("intro\n# "), "library_id", F.lit("\n"), F.expr("repeat(concat(lang, ' '), cast(doc_id % 700 + 1 as int))"), F.lit("\n## Empty\n\n### Two\nmore"))
+    return given(s, ["HowTo"], bind.pages(s, d).withColumns({"category": F.lit("HowTo"), "raw_content": text}))
 
 
-@query("t3_version_split", expected([("u/3", "T > ## v1", 9), ("u/3", "T > ## Version 2", 14), ("u/4", "T > Notes", 1)]))
+@query("t3_version_split", expected([("u/3", "T > ## v1", 9), ("u/3", "T > ## Version 2", 14), ("u/4", "T > Notes", 1)]) + " UNION ALL SELECT url, unnest(['T > ## v' || (doc_id % 9 + 1), 'T > # Version 7']), CAST(unnest([8 + length(library_id), 16]) AS INTEGER) FROM pages_t")
 def t3(s, d):
-    return given(s, ["ChangeLog"])
+    text = F.concat(F.lit("before\n## v"), F.col("doc_id") % 9 + 1, F.lit(".2\n"), "library_id", F.lit("\n# Version 7\nmore"))
+    return given(s, ["ChangeLog"], bind.pages(s, d).withColumns({"category": F.lit("ChangeLog"), "raw_content": text}))
 
 
 # two paragraphs fit a pack of 800 tokens; a pack is then over 2400 characters and cut at its last line end in the back half
-@query("t4_paragraph_pack", expected([("u/5", "T (part 1)", 1500), ("u/5", "T (part 1)", 1500), ("u/5", "T (part 2)", 1500), ("u/5", "T (part 2)", 1500), ("u/6", "T", 4)]))
+@query("t4_paragraph_pack", expected([("u/5", "T (part 1)", 1500), ("u/5", "T (part 1)", 1500), ("u/5", "T (part 2)", 1500), ("u/5", "T (part 2)", 1500), ("u/6", "T", 4)]) + " UNION ALL SELECT url, CASE WHEN n <= 2 THEN 'T' ELSE 'T (part ' || (i // 2 + 1) || ')' END, 1500 FROM (SELECT url, doc_id % 5 + 1 AS n, unnest(range(doc_id % 5 + 1)) AS i FROM pages_t)")
 def t4(s, d):
-    return given(s, ["Sample", "Code"])
+    """One to five paragraphs of 1500 characters."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")), lambda i: F.expr("repeat('a', 1500)")), "\n\n")
+    return given(s, ["Sample", "Code"], bind.pages(s, d).withColumns({"category": F.lit("Sample"), "raw_content": text}))
 
 
 def streamed(s, d, result):

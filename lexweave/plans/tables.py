@@ -88,10 +88,18 @@ def s6(s, d):
     return bind.index(s, d).postings(["idiot", "the", "Hereth"]).select("library_id", "term", "chunk_id", "term_frequency")
 
 
-@query("s10_registry_source", "SELECT * FROM (VALUES ('react', 'https://react.dev', 'https://github.com/facebook/react', NULL), ('requests', 'https://psf.io', 'https://github.com/psf/requests', 'https://requests.readthedocs.io')) AS t(package_id, project_url, repository_url, documentation_url)")
+@query("s10_registry_source", "SELECT source || doc_id AS package_id, 'https://' || source || '.dev' AS project_url, 'https://github.com/' || source || '/' || doc_id AS repository_url, CASE WHEN doc_id % 2 = 1 THEN 'https://' || source || '.readthedocs.io' END AS documentation_url FROM documents UNION ALL SELECT * FROM (VALUES ('react', 'https://react.dev', 'https://github.com/facebook/react', NULL), ('requests', 'https://psf.io', 'https://github.com/psf/requests', 'https://requests.readthedocs.io')) AS t(package_id, project_url, repository_url, documentation_url)")
 def s10(s, d):
+    """A saved reply of two registries for each document, and the small list."""
     rows = [("npm", "react", '{"homepage": "https://react.dev", "repository": {"url": "git+https://github.com/facebook/react.git"}}'), ("pip", "requests", '{"info": {"home_page": "https://psf.io", "project_urls": {"Source": "https://github.com/psf/requests", "Documentation": "https://requests.readthedocs.io"}}}')]
-    return deps.registry_metadata(s.createDataFrame(rows, "ecosystem_id string, package_id string, body string")).drop("ecosystem_id", "description")
+    small = s.createDataFrame(rows, "ecosystem_id string, package_id string, body string")
+    odd, home = F.col("doc_id") % 2 == 1, F.concat(F.lit("https://"), "source", F.lit(".dev"))
+    hub = F.concat(F.lit("https://github.com/"), "source", F.lit("/"), "doc_id")
+    urls = F.create_map(F.lit("Source"), hub, F.lit("Documentation"), F.concat(F.lit("https://"), "source", F.lit(".readthedocs.io")))
+    pip = F.to_json(F.struct(F.struct(home.alias("home_page"), urls.alias("project_urls")).alias("info")))
+    npm = F.to_json(F.struct(home.alias("homepage"), F.struct(F.concat(F.lit("git+"), hub, F.lit(".git")).alias("url")).alias("repository")))
+    saved = bind.read(s, d, "documents").select(F.when(odd, "pip").otherwise("npm").alias("ecosystem_id"), F.concat("source", "doc_id").alias("package_id"), F.when(odd, pip).otherwise(npm).alias("body"))
+    return deps.registry_metadata(saved.unionByName(small)).drop("ecosystem_id", "description")
 
 
 MANIFESTS = [
@@ -104,9 +112,21 @@ MANIFESTS = [
 ]
 
 
-@query("s9_manifest_parsers", "SELECT * FROM (VALUES ('a/App.csproj', 'Serilog', '2.0', 'nuget'), ('a/App.csproj', 'X', '1.1', 'nuget'), ('a/App.csproj', 'NoVer', 'unknown', 'nuget'), ('a/All.sln', 'Serilog', '2.0', 'nuget'), ('a/All.sln', 'X', '1.1', 'nuget'), ('a/All.sln', 'NoVer', 'unknown', 'nuget'), ('a/All.slnx', 'Serilog', '2.0', 'nuget'), ('a/All.slnx', 'X', '1.1', 'nuget'), ('a/All.slnx', 'NoVer', 'unknown', 'nuget'), ('package.json', 'react', '^18.2.0', 'npm'), ('package.json', 'jest', '29', 'npm'), ('requirements.txt', 'requests', '2.31', 'pip'), ('requirements.txt', 'flask', '2.0', 'pip'), ('requirements.txt', 'plain', '', 'pip'), ('pyproject.toml', 'numpy', '1.2', 'pip'), ('pyproject.toml', 'pandas', '', 'pip')) AS t(path, package_id, version, ecosystem_id)")
+@query("s9_manifest_parsers", "SELECT 'p' || doc_id || CASE doc_id % 4 WHEN 0 THEN '/App.csproj' WHEN 1 THEN '/package.json' WHEN 2 THEN '/requirements.txt' ELSE '/pyproject.toml' END AS path, unnest(CASE WHEN doc_id % 4 = 1 THEN [source, 'dev-' || lang] ELSE [source, lang] END) AS package_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['1.' || doc_id, 'unknown'] WHEN 1 THEN ['^1.' || doc_id, '2'] WHEN 2 THEN ['1.' || doc_id, ''] ELSE ['1.' || doc_id, ''] END) AS version, CASE doc_id % 4 WHEN 0 THEN 'nuget' WHEN 1 THEN 'npm' ELSE 'pip' END AS ecosystem_id FROM documents UNION ALL SELECT * FROM (VALUES ('a/App.csproj', 'Serilog', '2.0', 'nuget'), ('a/App.csproj', 'X', '1.1', 'nuget'), ('a/App.csproj', 'NoVer', 'unknown', 'nuget'), ('a/All.sln', 'Serilog', '2.0', 'nuget'), ('a/All.sln', 'X', '1.1', 'nuget'), ('a/All.sln', 'NoVer', 'unknown', 'nuget'), ('a/All.slnx', 'Serilog', '2.0', 'nuget'), ('a/All.slnx', 'X', '1.1', 'nuget'), ('a/All.slnx', 'NoVer', 'unknown', 'nuget'), ('package.json', 'react', '^18.2.0', 'npm'), ('package.json', 'jest', '29', 'npm'), ('requirements.txt', 'requests', '2.31', 'pip'), ('requirements.txt', 'flask', '2.0', 'pip'), ('requirements.txt', 'plain', '', 'pip'), ('pyproject.toml', 'numpy', '1.2', 'pip'), ('pyproject.toml', 'pandas', '', 'pip')) AS t(path, package_id, version, ecosystem_id)")
 def s9(s, d):
-    return deps.parse_manifests(s.createDataFrame(MANIFESTS, "path string, content string"))
+    """A manifest for each document, of four kinds, and the small list."""
+    k, i = F.col("doc_id") % 4, F.col("doc_id")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    source, lang = F.col("source"), F.col("lang")
+    content = (
+        F.when(k == 0, say('<Project><ItemGroup><PackageReference Include="', source, '" Version="1.', i, '" /><PackageReference Include="', lang, '" /></ItemGroup></Project>'))
+        .when(k == 1, say('{"dependencies": {"', source, '": "^1.', i, '"}, "devDependencies": {"dev-', lang, '": "2"}}'))
+        .when(k == 2, say("# made\n", source, "==1.", i, "\n-r more.txt\n", lang, "\n"))
+        .otherwise(say('[project]\nname = "x"\ndependencies = [\n  "', source, ">=1.", i, '",\n  "', lang, '",\n]\n'))
+    )
+    path = say("p", i, F.element_at(F.array(*[F.lit(x) for x in ("/App.csproj", "/package.json", "/requirements.txt", "/pyproject.toml")]), (k + 1).cast("int")))
+    files = bind.read(s, d, "documents").select(path.alias("path"), content.alias("content"))
+    return deps.parse_manifests(files.unionByName(s.createDataFrame(MANIFESTS, "path string, content string")))
 
 
 @query("s12_log_tail", "SELECT event_id AS number, event_type || ' ' || props AS line FROM events WHERE contains(lower(event_type), 'err') ORDER BY event_id DESC LIMIT 50")

@@ -146,9 +146,10 @@ SQL = {
     "profiles_t": "SELECT library_id, version, CASE WHEN version = '1.0' THEN ['One', library_id] ELSE [] END AS likely_symbols, CASE WHEN version = '1.0' THEN ['stop', library_id] WHEN CAST(regexp_extract(library_id, '(\\d+)', 1) AS INT) % 2 = 0 THEN [] ELSE ['later', 'KEEP'] END AS stoplist FROM versions_t",
     "site_t": "SELECT page AS src, name AS link FROM (SELECT DISTINCT 'https://site.com/page/' || page_id AS page, 'https://site.com' || regexp_replace(href, '^https?://[^/]*|[?#].*$', '', 'g') AS name FROM links_t) UNION ALL SELECT name, page FROM (SELECT DISTINCT 'https://site.com/page/' || page_id AS page, 'https://site.com' || regexp_replace(href, '^https?://[^/]*|[?#].*$', '', 'g') AS name FROM links_t)",
     "barred_t": "SELECT DISTINCT 'https://site.com/' || (page_id % 40) || list_extract(['/f.pdf', '/login/x', '/cart/1'], CAST(page_id % 3 + 1 AS BIGINT)) AS link FROM pages",
+    "marked_t": "SELECT library_id, version, id, doc_id, content || chr(10) || 'class Big' || w || ' ' || w || 'Set(' || w || '.' || w || '_' || (doc_id % 5) || ') std::' || w || '<int> RPM x->' || w || ' enum  Kind' || (doc_id % 5) || ' the CPU' AS content FROM (SELECT *, regexp_extract(content, '([A-Za-z]+)', 1) AS w FROM chunks_t)",
     "dotp_t": "SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
 }
-NEEDS = {"chunks_t": ["pages_t"], "libraries_t": ["pages_t"], "page_versions_t": ["pages_t"], "versions_t": ["page_versions_t"], "postings_t": ["chunks_t"], "pieces_t": ["chunks_t"], "site_t": ["links_t"], "profiles_t": ["versions_t"], "names_t": ["chunks_t"], "hrefs_t": ["links_t"], "lengths_t": ["postings_t"], "stats_t": ["lengths_t"]}
+NEEDS = {"chunks_t": ["pages_t"], "libraries_t": ["pages_t"], "page_versions_t": ["pages_t"], "versions_t": ["page_versions_t"], "postings_t": ["chunks_t"], "pieces_t": ["chunks_t"], "marked_t": ["chunks_t"], "site_t": ["links_t"], "profiles_t": ["versions_t"], "names_t": ["chunks_t"], "hrefs_t": ["links_t"], "lengths_t": ["postings_t"], "stats_t": ["lengths_t"]}
 
 
 def with_tables(sql: str) -> str:
