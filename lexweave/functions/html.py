@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,6 +22,9 @@ class Selected(HTMLParser):
         self.stack: list[tuple[str, frozenset[str]]] = []
         self.first: dict[str, list[str]] = {}
         self.closed: set[str] = set()
+        #: Open elements by selector and by tag; a page costs time in proportion to its length, however deep it is.
+        self.active: Counter = Counter()
+        self.open: Counter = Counter()
         self.skip = 0
 
     def matching(self, tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
@@ -36,20 +40,26 @@ class Selected(HTMLParser):
         if tag in VOID:
             return
         self.skip += tag in ("script", "style")
-        self.stack.append((tag, self.matching(tag, attrs)))
+        names = self.matching(tag, attrs)
+        self.stack.append((tag, names))
+        self.open[tag] += 1
+        self.active.update(names)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                for t, names in self.stack[k:]:
-                    self.skip -= t in ("script", "style")
-                    self.closed |= {n for n in names if "".join(self.first.get(n, [])).strip()}
-                del self.stack[k:]
-                break
+        if not self.open[tag]:
+            return
+        while True:
+            t, names = self.stack.pop()
+            self.open[t] -= 1
+            self.active -= Counter(names)
+            self.skip -= t in ("script", "style")
+            self.closed |= {n for n in names if any(x.strip() for x in self.first.get(n, []))}
+            if t == tag:
+                return
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            for n in {n for _, names in self.stack for n in names}:
+            for n in self.active:
                 self.first.setdefault(n, []).append(data)
 
     def text(self) -> str:

@@ -138,3 +138,68 @@ def test_stream_limits_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("limits").collect())) == sorted(map(tuple, crawl.limit_hosts(log).collect()))
+
+
+def test_catalog_writes_in_place(spark, tmp_path):
+    """Upserts read what they overwrite; deletes say how many rows went; a version stays a text."""
+    c = store.Catalog(spark, str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame(r, "library_id string, version string, id string, x int")
+    c.append("chunks", rows(("l", "2.10", "a", 1), ("l", "2.10", "b", 2), ("m/n", "1", "c", 3)))
+    for _ in range(2):
+        c.upsert("chunks", rows(("l", "2.10", "b", 5), ("l", "2.10", "d", 6)), ["id"])
+    got = lambda: sorted((r.library_id, r.version, r.id, r.x) for r in c.read("chunks").collect())
+    assert got() == [("l", "2.10", "a", 1), ("l", "2.10", "b", 5), ("l", "2.10", "d", 6), ("m/n", "1", "c", 3)]
+    assert c.delete("chunks", rows(("m/n", "1", "", 0), ("l", "9", "", 0))) == 1 and c.delete("chunks", rows(("m/n", "1", "", 0))) == 0
+    assert [r[2] for r in got()] == ["a", "b", "d"]
+
+
+def test_vector_index_replaces_and_adds(spark, tmp_path):
+    index = store.VectorIndex(spark, str(tmp_path / "v"))
+    assert index.read().count() == 0
+    rows = lambda v, *ids: spark.createDataFrame([(i, "HowTo", x, "l", v) for i, x in ids], "id string, category string, embedding array<float>, library_id string, version string")
+    index.load(rows("1", ("a", [3.0, 4.0]), ("z", [0.0, 0.0]), ("n", None)))
+    assert [(r.id, r.unit) for r in index.read().collect()] == [("a", [0.6, 0.8])]
+    index.load(rows("1", ("b", [1.0, 0.0])))
+    for _ in range(2):
+        index.add(rows("1", ("c", [0.0, 2.0])))
+    index.load(rows("2", ("d", [1.0, 1.0])))
+    assert sorted(r.id for r in index.read().collect()) == ["b", "c", "d"]
+    index.reload(rows("2", ("d", [1.0, 1.0])).unionByName(rows("1", ("b", [1.0, 0.0]))), spark.createDataFrame([("l", "2")], "id string, current_version string"))
+    assert [r.id for r in index.read().collect()] == ["d"]
+
+
+def test_stored_index_equals_a_scan(spark, sf, tmp_path):
+    c = bind.chunks(spark, sf)
+    index = lexical.Index(spark, str(tmp_path / "i")).build(c)
+    q = spark.createDataFrame([("q", "The thing of Axis")], "query_id string, query string")
+    want = {r.chunk_id: round(r.bm25, 9) for r in lexical.score(lexical.postings(c), lexical.lengths_of(c), q).collect()}
+    assert want == {r.chunk_id: round(r.bm25, 9) for r in index.score(q).collect()} == {r.chunk_id: round(r.bm25, 9) for r in index.score_text("The thing of Axis").collect()}
+    asked = index.postings(["the", "thing"])
+    assert {r.term for r in asked.select("term").distinct().collect()} <= {"the", "thing"}
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "shard_index" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "In(term" in plan.split("PushedFilters")[1]
+    assert "Exchange" not in lexical.postings(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("source library_id", "lang version", "text content", "'x' id"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_are_numbered_within_a_version(spark):
+    from lexweave.operators.symbols import numbered
+
+    rows = [(lib, v, f"{k:04}") for lib, v, n in (("a", "1", 300), ("a", "2", 1), ("b", "1", 50)) for k in range(n)]
+    got = {tuple(r)[:3]: r.ix for r in numbered(spark.createDataFrame(rows, "library_id string, version string, id string")).collect()}
+    assert got == {r: int(r[2]) for r in rows}
+
+
+def test_candidates_of_a_text():
+    from lexweave.operators.symbols import candidates
+
+    got = candidates("class Foo, eclass Bar; enum  K9 x1class Baz a.b(c) std::vec<int> foo-bar p->q éclass Qux Foo Foo(")
+    assert [(n, k) for n, *_, k in got if k] == [("Foo", "class"), ("K9", "enum"), ("Baz", "class")]
+    by = {(n, c, g): (leaf, box) for n, leaf, box, c, g, _ in got}
+    assert by["a.b", True, False] == ("b", "a") and by["std::vec", False, True] == ("vec", "std") and by["p->q", False, False] == ("q", "p")
+    assert ("Foo", True, False) in by and by["foo-bar", False, False] == ("foo-bar", None) and candidates(None) == []
+
+
+def test_shared_folder_is_the_sessions(spark):
+    from lexweave.session import shared_folder
+
+    assert shared_folder(spark) == spark.sparkContext._jsc.sc().getCheckpointDir().get()
