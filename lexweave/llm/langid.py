@@ -40,6 +40,8 @@ from .common import Words, coefficients, cut, mix64, slices, table, text_buffers
 #: Bytes of the parts in which words are learned from.
 PART = 4096
 MOST_DOCS = 600
+#: Parts of a language's ids, of which each gives its least first.
+PARTS = 16
 ROUNDS = 4
 #: Weight of the even distribution that smooths a language's expected counts.
 SMOOTH = 200.0
@@ -340,10 +342,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit one distribution per language on at most ``most_docs`` texts of each."""
     path = path or default_vocabulary()[0]
     may_learn = F.lit(True) if may_learn is None else may_learn
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), F.col("id")), "id")
+    order = [F.xxhash64(F.lit(3), F.col("id")), F.col("id")]
     ids = docs.where(may_learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null")
-    # a limit of row numbers is applied before the shuffle too, so a common language is no hot task
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).select("id", "lang").distinct()
+    # the least of each of some parts, then of all: the last task of a common language gets as many rows as PARTS allow, whatever the table
+    for by in (["lang", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(PARTS))], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= most_docs).drop("n")
+    ids = ids.distinct()
     sample = docs.where(may_learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("lang", "text").repartition(24)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
