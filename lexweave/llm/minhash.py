@@ -40,7 +40,7 @@ from .components import components
 
 BANDS, ROWS = 32, 6
 #: Members of a block of a bucket that is compared across components.
-BLOCK = 512
+BLOCK = 256
 #: Least share of equal signature bytes of a pair to confirm, 5.5 deviations under 0.8.
 SLACK = 0.16
 
