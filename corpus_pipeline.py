@@ -31,6 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     that repeat an id go only if their texts are near copies; of rows with equal id and text
     the least by the other columns stays.  Rows without an id are documents like others, the least.
     """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
+    if again.isEmpty():
+        # every id is a document: no need to tell texts of one id apart, so documents are dealt once, by id
+        kept = minhash.near_duplicates(docs, words=5).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     kept = minhash.near_duplicates(rows, "key", "text", words=5).where("kept").select("key").distinct()
