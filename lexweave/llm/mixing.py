@@ -33,6 +33,8 @@ from .common import WORD, cut, table
 
 #: Documents of a chunk of the reduction tree, on average.
 CHUNK = 32
+#: Chunks that a task folds at least: a level of few chunks is written in few files.
+TASK_CHUNKS = 128
 MOST_COPIES = 3
 CYCLE = 3
 
@@ -97,20 +99,21 @@ def round_copies(items: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFra
     """``(k1, k2, up)`` for items ``(source, k1, k2, m double, p double)`` with m > 0 and 0 < p < 1."""
     items = cut(items)
     counts = items.groupBy("source").agg(F.count("*").alias("n"))
-    n_max = counts.agg(F.max("n")).first()[0] or 0
+    n_max, open_chunks, sources = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("n") / chunk)), F.lit(0)), F.count("*")).first()
     chunks = counts.select(F.col("source").alias("s"), F.ceil(F.col("n") / chunk).alias("chunks"))
     level = items.join(chunks, F.col("source").eqNullSafe(F.col("s"))).select("source", "k1", "k2", "m", "p", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), "chunks").alias("at"))
     decided = None
     width, step = -(-n_max // chunk), 0
     while True:
         group = level.groupBy("source", "at").agg(F.array_sort(F.collect_list(F.struct("k1", "k2", "m", "p"))).alias("items"))
+        group = group.coalesce(max(1, -(-(open_chunks + sources) // TASK_CHUNKS)))
         folded = cut(group.select("source", "at", fold(F.col("items"), seed + step).alias("f")))
         gone = folded.select(F.explode("f.done").alias("d")).select("d.*")
         decided = gone if decided is None else decided.unionByName(gone)
         level = folded.select("source", "f.k1", "f.k2", "f.m", "f.p", F.floor(F.col("at") / chunk).alias("at"))
         if width <= 1:
             break
-        width, step = -(-width // chunk), step + 1
+        width, open_chunks, step = -(-width // chunk), open_chunks // chunk, step + 1
     last = level.select("k1", "k2", (draw(seed + step + 1, F.col("k1"), F.col("k2")) < F.col("p")).alias("up"))
     return decided.unionByName(last)
 

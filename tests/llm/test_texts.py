@@ -8,6 +8,7 @@ import time
 import tracemalloc
 from collections import Counter, defaultdict
 from html import unescape
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -18,6 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, fingerprint, html, html_pages, langid, mixing, tokens, toxicity
+from lexweave.session import shared_folder
 
 
 def odd_texts():
@@ -461,6 +463,26 @@ def test_rounding_keeps_probabilities_and_words(spark):
     assert abs(np.mean([words[i] for i in range(n)]) - p * sum(sizes)) < 12
 
 
+def test_levels_of_few_chunks_are_few_files(spark):
+    """Five levels over 150 chunks, with as many shuffle partitions as a large input has."""
+    items = spark.createDataFrame([("a", k, -k, float(k % 7 + 1), 0.4) for k in range(600)], "source string, k1 long, k2 long, m double, p double")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    parts = lambda: sum(1 for _ in folder.rglob("part-*"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = parts()
+        rows = mixing.round_copies(items, chunk=4).collect()
+        written = parts() - before
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert written <= 64 + 8  # the items, and eight for all levels
+    assert sorted(r.k1 for r in rows) == list(range(600))
+    assert abs(sum((r.k1 % 7 + 1) * r.up for r in rows) - 0.4 * sum(k % 7 + 1 for k in range(600))) < 7
+
+
 def test_mixing_of_long_texts(spark, docs):
     rows = mixing.mix(docs(["w " * 300_000, "x", None, "y " * 100])).collect()
     assert {r.id: r.size for r in rows} == {0: 300_000, 1: 1, 2: 0, 3: 100} and all(0 <= r.copies <= 3 for r in rows)
