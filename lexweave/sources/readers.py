@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from ..functions import fixed
 from ..functions.text import file_category
 from ..functions.url import url_allowed
 
+#: Files of an archive that is written, at most.
+ARCHIVE_FILES = 256
+
 
 def scan(table: DataFrame, library: str, version: str) -> DataFrame:
     """Rows of one library version; the filter reaches the files."""
@@ -25,15 +32,54 @@ def point(table: DataFrame, **key: str) -> DataFrame:
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, content binary) of all files below a folder; path is relative."""
+    """(path, length, content binary) of all files below a folder that aren't empty; path is relative."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "", root).strip("/")
     return f.select(F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*\Q{base}\E/", "").alias("path"), "length", "content")
 
 
-def repository(spark: SparkSession, root: str, owner: str, name: str) -> DataFrame:
-    """Pages of a checked-out repository: text files up to the size limit, outside skipped folders."""
-    f = files(spark, root)
+def packed(path: str, text: str) -> str:
+    """A text file as a tar archive holds it: header, bytes, zeros up to a whole block."""
+    body = text.encode()
+    info = tarfile.TarInfo(path)
+    info.size = len(body)
+    return info.tobuf(tarfile.PAX_FORMAT, "utf-8").decode() + text + "\0" * (-len(body) % tarfile.BLOCKSIZE)
+
+
+def write_archives(found: DataFrame, root: str, most: int = ARCHIVE_FILES) -> None:
+    """Text files (path, value) as tar archives of at most ``most`` files, in any file system that Spark knows.
+
+    The writer ends each row by a separator; here it is the entry of the folder ``./``.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, most):
+                part = b.slice(i, most)
+                yield pa.RecordBatch.from_arrays([pa.array(map(packed, part["path"].to_pylist(), part["value"].to_pylist()), pa.string())], ["value"])
+
+    here = tarfile.TarInfo("./")
+    here.type = tarfile.DIRTYPE
+    rows = found.select("path", F.coalesce("value", F.lit("")).alias("value")).mapInArrow(members, "value string")
+    rows.write.option("maxRecordsPerFile", most).option("lineSep", here.tobuf().decode()).text(root)
+
+
+def archived(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, content binary) of the files in the tar archives below a folder, without empty ones as in ``files``; path is that in the archive."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:") as archive:
+                    found = [(m.name, m.size, archive.extractfile(m).read()) for m in archive if m.isreg() and m.size]
+                yield pa.RecordBatch.from_pylist([dict(zip(("path", "length", "content"), x, strict=True)) for x in found], pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())]))
+
+    return files(spark, root).select("content").mapInArrow(members, "path string, length long, content binary")
+
+
+def repository(spark: SparkSession, root: str, owner: str, name: str, archives: bool = False) -> DataFrame:
+    """Pages of a repository, checked out or in archives: text files up to the size limit, outside skipped folders."""
+    f = archived(spark, root) if archives else files(spark, root)
     ext = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     skip = F.exists(F.split("path", "/"), lambda p: F.lower(p).isin([x.lower() for x in fixed.SKIPPED_DIRECTORIES]))
     f = f.where((F.col("length") <= fixed.MAX_FILE_BYTES) & ext.isin(fixed.TEXT_EXTENSIONS) & ~skip)

@@ -1,9 +1,14 @@
 """Properties and small cases of the operators."""
 
+import subprocess
+from pathlib import Path
+
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from lexweave.operators import crawl, deps, lexical, profiling, search, store, versions
+from lexweave.plans import catalog, streams
 from lexweave.sources import bind, readers
 from lexweave.streaming import ingest
 
@@ -203,3 +208,41 @@ def test_shared_folder_is_the_sessions(spark):
     from lexweave.session import shared_folder
 
     assert shared_folder(spark) == spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def test_repository_in_archives_is_read_as_one_checked_out(spark, tmp_path):
+    """Odd names and texts, more files than an archive holds, and archives that any tool can read."""
+    long = "é" * 60 + "/" + "n" * 120
+    some = [("docs/a.md", "x\n"), (f"docs/{long}.txt", "ä\x00\U0001f600"), ("src/empty.py", ""), ("src/none.py", None), ("src/block.py", "b" * 512), ("src/over.py", "o" * (200 * 1024 + 1)), ("src/most.py", "m" * (200 * 1024)), ("node_modules/x/y.js", "hidden"), ("src/picture.png", "p")]
+    some += [(f"samples/{i}.txt", f"text {i}\n" * (i % 7)) for i in range(40)]
+    loose = tmp_path / "loose"
+    for name, text in some:
+        p = loose / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes((text or "").encode())
+    readers.write_archives(spark.createDataFrame(some, "path string, value string").coalesce(1), f"{tmp_path}/packed", most=16)
+    archives = sorted((tmp_path / "packed").glob("part-*"))
+    assert len(archives) == 4
+    assert sum(len([n for n in subprocess.run(["tar", "tf", a], capture_output=True, check=True, text=True).stdout.split("\n") if n and n != "./"]) for a in archives) == len(some)
+    want = readers.repository(spark, f"file:{loose}", "o", "r").collect()
+    got = readers.repository(spark, f"{tmp_path}/packed", "o", "r", archives=True).collect()
+    hidden = {"src/over.py", "node_modules/x/y.js", "src/picture.png"}
+    assert sorted(got) == sorted(want) and {r.title: r.raw_content for r in got} == {n: x for n, x in some if x and n not in hidden}
+
+
+def test_git_source_on_odd_documents(spark, tmp_path):
+    """No file for a document without a text, one for each row of a repeated or missing id, no folder or file in the file system for each."""
+    rows = [(1, "a b", "en"), (1, "c", "en"), (None, "d", "en"), (None, "é\n\x00", "en"), (2, None, "de"), (3, "", "de"), (4, "x" * 204_799, "fr"), (5, "x" * 204_800, "fr"), (6, "z", None), (7, "z", "es")]
+    rows += [(100 + i, f"text {i}", "fr") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    kept = streams.drop_folder
+    streams.drop_folder = lambda s, path: made.extend(Path(path.removeprefix("file:")).rglob("part-*")) or kept(s, path)
+    try:
+        got = sorted(map(tuple, streams.s8(spark, str(tmp_path)).collect()))
+    finally:
+        streams.drop_folder = kept
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalog.ORACLES["s8_git_source"]).fetchall())
+    assert 0 < len(made) < 20
